@@ -172,3 +172,21 @@ def exact_dedup(
     return joined.select(
         F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """``docs`` with one row of each class of equal texts. Rows that are surely kept aren't shuffled."""
+    found = exact_dedup(docs, id_col, text_col, keep)
+    multiple = found.where("group_size > 1").select(
+        F.col(id_col).cast("long").alias("__i"), F.unhex("text_sha256").alias("__s"), "kept"
+    )
+    multiple = shared_table(multiple, "dedup-multiple")
+    keyed = maybe_in(docs.withColumn("__id", F.col(id_col).cast("long")), ["__id"], filter_table(multiple.select(F.col("__i").alias("__id"))), "__m")
+    sure = keyed.where("NOT __m").select(*docs.columns)
+    sha = F.unhex(F.sha2(F.coalesce(ascii_lower(F.col(text_col).cast("string")), F.lit("")), 256))
+    rest = keyed.where("__m").withColumn("__sha", sha)
+    rest = rest.withColumn("__n", F.row_number().over(Window.partitionBy("__sha", "__id").orderBy("__sha")))
+    known = multiple.groupBy("__i", "__s").agg(F.max("kept").alias("__kept"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sha") == F.col("__s"))
+    rest = rest.join(known, same, "left").where("__kept IS NULL OR (__kept AND __n = 1)")
+    return sure.unionByName(rest.select(*docs.columns))
