@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, ngram_join, packing, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, ngram_join, packing, sharding, token_count, toxicity, url_filter
 
 #: The rules of op3: host, path, verdict.
 URL_RULES = [
@@ -18,6 +18,9 @@ URL_RULES = [
     ("org", "/es/", "block"),
 ]
 
+#: The vocabulary of op4: lines of ``base64 rank``, read on the driver.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +39,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), token_count.load_pieces(vocabulary))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
