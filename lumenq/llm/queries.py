@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, ngram_join, packing, sharding, token_count, toxicity, url_filter
+from . import decontamination, exact_dedup, ngram_join, packing, pii, sharding, token_count, toxicity, url_filter
 
 #: The rules of op3: host, path, verdict.
 URL_RULES = [
@@ -21,6 +21,9 @@ URL_RULES = [
 #: The vocabulary of op4: lines of ``base64 rank``, read on the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
+#: The key of op8's surrogates; a deployment passes its own secret.
+PII_KEY = "lumenq-registered-query"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +54,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 24)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
