@@ -1,12 +1,13 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 Features come from word hashes and bytes of the whole text: densities of a lexicon (words that labelled
-toxic texts use far more often, each with its log-odds, and a short list of plain insults), second-person
+or stems that toxic texts use far more often, each with its log-odds, and a short list of insults), second-person
 words and their nearness to lexicon words, capitals, punctuation, and rates of obfuscated spellings.
 
-Fitting sees at most ``SAMPLE_ROWS`` labelled rows, those with the smallest identifier hashes. A third of
-them gives the lexicon (words are counted by distinct neighbours, so copies of a text count once), half
-the trees and a sixth the calibration. Scoring reads every whole text once, without a shuffle.
+Fitting sees at most ``SAMPLE_ROWS`` labelled rows, those with the smallest identifier hashes, in three
+folds. The features that the trees learn from come from a lexicon of the other folds, and calibration from
+margins of trees of the other folds, so neither sees its own labels. Lexicon entries are counted once for
+each text, and most near copies of a text not again. Scoring reads every whole text once, without a shuffle.
 
 Defined cases: a null text counts as empty and gets the score of an empty text; a null label or
 identifier is not learned from; repeated labels count each; without labels of both kinds every score is
@@ -26,9 +27,14 @@ from pyspark.sql import functions as F
 from ._common import IS_WORD, LOWER, byte_view, mix64, slices, word_hash, word_hashes
 
 #: Labelled rows that fitting may see.
-SAMPLE_ROWS = 18_000
-#: Entries of the learned lexicon, its least distinct contexts in toxic texts and least log-odds.
-LEXICON_WORDS, LEXICON_CONTEXTS, LEXICON_ODDS = 2_000, 6, 1.5
+SAMPLE_ROWS = 10_000
+#: Most entries of the learned lexicon, in how many unlike toxic texts each must stand, the least lower
+#: end of its log-odds' interval, and how many standard errors that interval is wide to a side.
+LEXICON_WORDS, LEXICON_TEXTS, LEXICON_ODDS, LEXICON_ERRORS = 2_000, 4, 0.9, 2.5
+#: Lengths of the stems that stand in a lexicon beside whole words.
+STEM_BYTES = (4, 5, 6)
+#: Parts of the sample for cross-fitting.
+FOLDS = 3
 ROUNDS, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 32, 12
 NEAR = 5
 THRESHOLD = 0.3
@@ -72,14 +78,27 @@ class Model:
     knots: np.ndarray = field(default_factory=lambda: np.zeros(1))
     levels: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    def word_odds(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The largest log-odds among the lexicon entries that each word matches, or 0."""
+        odds = np.zeros(len(h))
+        if not len(self.lexicon):
+            return odds
+        low = np.zeros(1 << 16, bool)
+        low[(self.lexicon & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for words, entry in _entries(buf, start, end, h):
+            some = np.flatnonzero(low[(entry & np.uint64(0xFFFF)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.lexicon, entry[some]), len(self.lexicon) - 1)
+            good = self.lexicon[place] == entry[some]
+            np.maximum.at(odds, words[some[good]], self.odds[place[good]])
+        return odds
+
     def features(self, texts: pa.Array) -> np.ndarray:
         buf, offs = byte_view(texts)
         h, start, end, at = word_hashes(buf, offs)
         n = np.maximum(np.diff(at), 1)
         size = np.maximum(np.diff(offs), 1)
-        place = np.minimum(np.searchsorted(self.lexicon, h), max(len(self.lexicon) - 1, 0))
-        toxic = _inside(self.lexicon, h)
-        odds = np.where(toxic, self.odds[place], 0.0) if len(self.odds) else np.zeros(len(h))
+        odds = self.word_odds(buf, start, end, h)
+        toxic = odds > 0
         insult, second = _inside(_table(INSULTS), h), _inside(_table(SECOND_PERSON), h)
         bad = toxic | insult
         # Words of a text within NEAR of a second-person word.
@@ -192,67 +211,108 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(xs), np.clip(np.array(ys), 0, 1)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, its neighbours, label) of the texts."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            h, _, _, at = word_hashes(*byte_view(part.column("text")))
-            label = np.repeat(part.column("toxic").to_numpy(), np.diff(at)).astype(np.uint64)
-            padded = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
-            around = mix64(padded[:-2] * np.uint64(3) + padded[2:] * np.uint64(5) + label)
-            _, first = np.unique(mix64(around ^ h), return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(label[first].astype(np.int64))],
-                ["word", "around", "toxic"],
-            )
+def _entries(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, hashes) of what a lexicon may hold: whole words, and their first bytes as stems."""
+    out = [(np.arange(len(h)), h)]
+    for size in STEM_BYTES:
+        long_ = np.flatnonzero(end - start > size)
+        stem = np.full(len(long_), size, np.uint64)
+        for k in range(size):
+            stem = stem << np.uint64(8) | LOWER[buf[start[long_] + k]].astype(np.uint64)
+        out.append((long_, mix64(stem)))
+    return out
 
 
-def _fold(n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(n))
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, its distinct lexicon entries and its smallest hash of three words running, which
+    near copies mostly share."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            buf, offs = byte_view(part.column("text"))
+            h, start, end, at = word_hashes(buf, offs)
+            owner = np.repeat(np.arange(len(part)), np.diff(at))
+            parts = _entries(buf, start, end, h)
+            pairs = np.unique(np.stack([np.concatenate([owner[w] for w, _ in parts]).astype(np.uint64), np.concatenate([e for _, e in parts])]), axis=1)
+            cut = np.searchsorted(pairs[0], np.arange(len(part) + 1))
+            padded = np.concatenate([h, np.zeros(2, np.uint64)])
+            three = mix64(padded[:-2] * np.uint64(3) + padded[1:-1] * np.uint64(5) + padded[2:] * np.uint64(7))
+            key = np.array([int(three[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(pairs[1].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column("fold"), part.column("toxic"), lists], ["key", "fold", "toxic", "entries"])
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
+
+
+def choose_lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes in order, log-odds) of the known words that toxic texts surely use more: the lower end of
+    the log-odds' interval must reach LEXICON_ODDS."""
+    odds = np.log((toxic + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / (clean.sum() + 1))
+    low = odds - LEXICON_ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    good = np.flatnonzero(known & (toxic >= LEXICON_TEXTS) & (low >= LEXICON_ODDS))
+    good = good[np.lexsort((words[good], -low[good]))][:LEXICON_WORDS]
+    good = good[np.argsort(words[good])]
+    return words[good], odds[good]
+
+
+def _lexicons(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A lexicon without each fold, and the lexicon of all folds."""
+    texts = rows.select("text", _fold().alias("fold"), "toxic").mapInArrow(_seen, "key long, fold int, toxic int, entries array<long>")
+    once = texts.groupBy("key", "toxic").agg(F.min_by(F.struct("fold", "entries"), F.struct("fold", F.size("entries"))).alias("t"))
+    once = once.select("toxic", "t.fold", F.explode("t.entries").alias("word"))
+    sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{k}{t}") for k in range(FOLDS) for t in (0, 1)]
+    counts = once.groupBy("word").agg(*sums)
+    toxic = sum(F.col(f"n{k}1") for k in range(FOLDS))
+    # Words of no toxic text only enter the totals, as one row.
+    known = toxic >= LEXICON_TEXTS
+    totals = [F.sum(c).alias(c) for c in counts.columns if c != "word"]
+    counts = counts.withColumn("known", known).withColumn("word", F.when(known, F.col("word")).otherwise(0)).groupBy("known", "word").agg(*totals)
+    got = counts.toPandas()
+    words, known = got["word"].to_numpy(np.int64).view(np.uint64), got["known"].to_numpy(bool)
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        a, b = (sum((got[f"n{k}{t}"].to_numpy(float) for k in range(FOLDS) if k != left_out), np.zeros(len(got))) for t in (1, 0))
+        out.append(choose_lexicon(words, a, b, known))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn a model from the labels of rows that are not held out."""
     marked = labels.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
-    # Bounded by SAMPLE_ROWS, so it may be broadcast to the one scan of the texts.
+    # Bounded by SAMPLE_ROWS, so it may be broadcast to the scans of the texts.
     sample = marked.orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(sample), "id"
     )
-    pairs = rows.where(_fold(6) < 2).select("text", "toxic").mapInArrow(_contexts, "word long, around long, toxic long").distinct()
-    counts = pairs.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    total = pairs.agg(F.sum("toxic").alias("ta"), F.sum(1 - F.col("toxic")).alias("tb"))
-    odds = F.log((F.col("a") + 0.5) / (F.col("ta") + 1)) - F.log((F.col("b") + 0.5) / (F.col("tb") + 1))
-    # One row of totals: broadcast, not paired.
-    scored = counts.where(F.col("a") >= LEXICON_CONTEXTS).join(F.broadcast(total.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
-    words = (
-        scored.withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("odds"), "word")
-        .limit(LEXICON_WORDS).select("word", "odds").toPandas()
-    )
-    words = words.assign(word=words["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
-    model = Model(words["word"].to_numpy(np.uint64), words["odds"].to_numpy(float))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = [Model(*lexicon) for lexicon in _lexicons(rows)]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = shared.value.features(part.column("text"))
+                fold = part.column("fold").to_numpy()
+                every = np.stack([m.features(part.column("text")) for m in shared.value[:FOLDS]])
+                x = every[fold, np.arange(len(fold))]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("fold"), part.column("toxic"), lists], ["id", "fold", "toxic", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    learned = rows.where(_fold(6) >= 2).select("id", _fold(6).alias("fold"), "toxic", "text")
-    got = learned.mapInArrow(run, f"id {kind}, fold long, toxic int, x array<double>").orderBy("id", "toxic").toPandas()
-    y = got["toxic"].to_numpy(float)
+    got = rows.select("id", _fold().alias("fold"), "toxic", "text").mapInArrow(run, f"id {kind}, fold int, toxic int, x array<double>")
+    got = got.orderBy("id", "toxic").toPandas()
+    model, y = models[-1], got["toxic"].to_numpy(float)
     if len(np.unique(y)) < 2:
         model.levels = np.array([y.mean() if len(y) else 0.0])
         return model
-    x, calibrate = np.stack(got["x"]), got["fold"].to_numpy() == 5
-    if len(np.unique(y[calibrate])) < 2 or len(np.unique(y[~calibrate])) < 2:
-        calibrate = np.zeros(len(y), bool)
-    model.base, model.trees = boost(x[~calibrate], y[~calibrate])
-    use = calibrate if calibrate.any() else ~calibrate
-    model.knots, model.levels = isotonic(model.margin(x[use]), y[use])
+    x, fold = np.stack(got["x"]), got["fold"].to_numpy()
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest = fold != k
+        if rest.any():
+            base, trees = boost(x[rest], y[rest])
+            margin[~rest] = Model(base=base, trees=trees).margin(x[~rest])
+    model.base, model.trees = boost(x, y)
+    model.knots, model.levels = isotonic(margin, y)
     return model
 
 
