@@ -38,7 +38,7 @@ def band_plan(threshold: float, recall: float = 0.999, most: int = 128) -> tuple
     best = (1, 1)
     for rows in range(1, most + 1):
         hit = threshold**rows
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-hit)) if hit < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     return best
@@ -300,9 +300,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with one row of each class. Rows that are surely kept aren't shuffled."""
     found = similar_rows(docs, id_col, text_col, n, threshold)
     gone = found.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h")))).select("id", "h").distinct()
-    gone = shared_table(gone, "join-gone")
+    gone = shared_table(gone.select(F.col("id").alias("__gid"), F.col("h").alias("__gh")), "join-gone")
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
     keyed = maybe_in(keyed, ["__id", "__h"], filter_table(gone), "__g")
     sure = keyed.where("NOT __g").select(*docs.columns)
-    rest = keyed.where("__g").join(gone, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h")), "left_anti")
+    rest = keyed.where("__g").join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__h") == F.col("__gh")), "left_anti")
     return sure.unionByName(rest.select(*docs.columns))
