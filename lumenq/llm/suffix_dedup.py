@@ -295,8 +295,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = shared_table(repeated_windows(base, length, group_contexts), "repeat-starts")
     flagged = maybe_in(keyed, ["__id", "__h"], filter_table(starts.select("id", "h")), "__f")
     clean = flagged.where("NOT __f").select(*columns, F.lit(None).cast("array<long>").alias("__starts"))
-    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h"))
-    rest = flagged.where("__f").join(starts.select("id", "h", F.col("starts").alias("__starts")), same, "left")
+    marked = starts.select(F.col("id").alias("__sid"), F.col("h").alias("__sh"), F.col("starts").alias("__starts"))
+    same = F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__h") == F.col("__sh"))
+    rest = flagged.where("__f").join(marked, same, "left")
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
