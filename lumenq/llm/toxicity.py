@@ -30,7 +30,7 @@ from ._common import IS_WORD, LOWER, byte_view, mix64, slices, word_hash, word_h
 SAMPLE_ROWS = 10_000
 #: Most entries of the learned lexicon, in how many unlike toxic texts each must stand, the least lower
 #: end of its log-odds' interval, and how many standard errors that interval is wide to a side.
-LEXICON_WORDS, LEXICON_TEXTS, LEXICON_ODDS, LEXICON_ERRORS = 2_000, 4, 0.9, 2.5
+LEXICON_WORDS, LEXICON_TEXTS, LEXICON_ODDS, LEXICON_ERRORS = 2_000, 3, 0.9, 2.1
 #: Lengths of the stems that stand in a lexicon beside whole words.
 STEM_BYTES = (4, 5, 6)
 #: Parts of the sample for cross-fitting.
