@@ -392,7 +392,9 @@ class Session:
         self._register_views(tokens)
         planned, self.last_plan = self._planned(tokens)
         rewriter = self._rewriter()
-        out = self.spark.sql(frontend.join(rewriter.rewrite(frontend.named_items(planned))), args=rewriter.args)
+        semantic = {t: {c.name for c in self.catalog.schema(t).columns if c.kind == "embtext"} for t in self.catalog.names()}
+        ready = rewriter.rewrite(frontend.named_items(frontend.carry_vectors(planned, semantic)))
+        out = self.spark.sql(frontend.join(ready), args=rewriter.args)
         if self.compat and frontend.has_global_aggregate(tokens):
             out = out.select(*[self._zeroed(out, f) for f in out.schema])
         if not vectors:

@@ -101,6 +101,19 @@ def test_semantic_operators(db):
         db.sql("select (biography ailike 'x' from t_text")
 
 
+def test_vectors_follow_derived_tables(db):
+    inner = "(select name n, biography, age from t_text where age > 40)"
+    near = ask(db, f"select n, (x.biography ailike 'bo is a 99-year-old architect') d from {inner} x order by d, n limit 1")
+    assert near == [("bo", -1000)]
+    two = "(select y.b about from (select biography b from t_text) y)"
+    assert ask(db, f"select min(z.about ailike 'bo is a 99-year-old architect') m from {two} z") == [(-1000,)]
+    assert len(ask(db, "select u.name from (select biography name from t_text) u, (select name from t limit 1) v")) == 12
+    assert db.sql(f"select * from {inner} x").columns == ["n", "biography", "age"]
+    assert db.sql("select * from (select distinct name, biography from t_text) x").columns == ["name", "biography"]
+    joined = f"select a.n, (a.biography ailike b.biography) d from {inner} a join {inner} b on a.n = b.n and a.age = b.age order by d limit 1"
+    assert ask(db, joined)[0][1] <= -999
+
+
 def test_catalog_text_is_lossless(spark, db):
     text = db.catalog.text()
     assert "biography embtext" in text
