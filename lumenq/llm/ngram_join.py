@@ -29,7 +29,7 @@ from ._common import byte_view, drop_shared, filter_table, maybe_in, mix64, shar
 from .components import components
 
 #: n-grams and rows of a bucket's block; two blocks meet in a task at a time.
-BLOCK_GRAMS, BLOCK_ROWS = 1 << 19, 512
+BLOCK_GRAMS, BLOCK_ROWS = 1 << 19, 256
 
 
 def band_plan(threshold: float, recall: float = 0.999, most: int = 128) -> tuple[int, int]:
