@@ -520,7 +520,7 @@ def compat_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_nearest_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An indexed top-k that opens every cluster equals the exact one, and says that it used the index."""
     s = _nations(spark, sf_dir)
-    text = "select k, (name ailike 'united states') dist from nations order by dist, k limit 22"
+    text = "select k, (name semlike 'united states') dist from nations order by dist, k limit 22"
     exact = [tuple(r) for r in s.sql(text).collect()]
     s.create_index("nations", "name", 4)
     near = [tuple(r) for r in s.sql(text).collect()]
@@ -529,7 +529,7 @@ def sql_nearest_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nations(spark, sf_dir).sql("explain select k, (name ailike 'china') dist from nations order by dist limit 2")
+    return _nations(spark, sf_dir).sql("explain select k, (name semlike 'china') dist from nations order by dist limit 2")
 
 
 @registered()

@@ -83,34 +83,39 @@ def test_standard_dialect(spark, db):
 
 
 def test_semantic_operators(db):
-    near = ask(db, "select name, (biography ailike 'bo is a 99-year-old architect') sim from t_text order by sim, name limit 1")
+    near = ask(db, "select name, (biography semlike 'bo is a 99-year-old architect') sim from t_text order by sim, name limit 1")
     assert near[0][0] == "bo" and near[0][1] == -1000
-    assert ask(db, "select max(biography ailike biography) from t_text")[0][0] <= -999
-    assert ask(db, "select name from t_text where (biography ailike 'bo is a 99-year-old architect') < -999") == [("bo",)]
-    assert ask(db, "select count(*) from t_text where ('sam is a lawyer' ailike biography) <= 1000") == [(12,)]
-    assert ask(db, "select max(a.biography ailike b.biography) from t_text a join t_text b on a.name = b.name where a.age = b.age")[0][0] <= -999
-    assert {r[0] for r in ask(db, "select biography ailike_cos biography from t_text")} <= {0, 1}
-    a, b = ask(db, "select ailike(biography, 'x y') f, (biography ailike 'x y') g from t_text limit 1")[0]
+    assert ask(db, "select max(biography semlike biography) from t_text")[0][0] <= -999
+    assert ask(db, "select name from t_text where (biography semlike 'bo is a 99-year-old architect') < -999") == [("bo",)]
+    assert ask(db, "select count(*) from t_text where ('sam is a lawyer' semlike biography) <= 1000") == [(12,)]
+    assert ask(db, "select max(a.biography semlike b.biography) from t_text a join t_text b on a.name = b.name where a.age = b.age")[0][0] <= -999
+    assert {r[0] for r in ask(db, "select biography semlike_cos biography from t_text")} <= {0, 1}
+    a, b = ask(db, "select semlike(biography, 'x y') f, (biography semlike 'x y') g from t_text limit 1")[0]
     assert a == b
-    assert ask(db, "select 'it''s' ailike 'it\\'s' d from t_text limit 1")[0][0] <= -999
+    assert ask(db, "select 'it''s' semlike 'it\\'s' d from t_text limit 1")[0][0] <= -999
     with pytest.raises(TypeMismatch):
-        db.sql("select biography ailike 5 from t_text")
+        db.sql("select biography semlike 5 from t_text")
     with pytest.raises(ParseError):
-        db.sql("select ailike 'x' from t_text")
+        db.sql("select semlike 'x' from t_text")
     with pytest.raises(ParseError):
-        db.sql("select (biography ailike 'x' from t_text")
+        db.sql("select (biography semlike 'x' from t_text")
+
+
+def test_both_spellings(db):
+    own, old = (ask(db, f"select name, (biography {k} 'a nurse') d, (biography {k}_cos 'a nurse') c from t_text order by d, name limit 4") for k in ("semlike", "AILIKE"))
+    assert own == old
 
 
 def test_vectors_follow_derived_tables(db):
     inner = "(select name n, biography, age from t_text where age > 40)"
-    near = ask(db, f"select n, (x.biography ailike 'bo is a 99-year-old architect') d from {inner} x order by d, n limit 1")
+    near = ask(db, f"select n, (x.biography semlike 'bo is a 99-year-old architect') d from {inner} x order by d, n limit 1")
     assert near == [("bo", -1000)]
     two = "(select y.b about from (select biography b from t_text) y)"
-    assert ask(db, f"select min(z.about ailike 'bo is a 99-year-old architect') m from {two} z") == [(-1000,)]
+    assert ask(db, f"select min(z.about semlike 'bo is a 99-year-old architect') m from {two} z") == [(-1000,)]
     assert len(ask(db, "select u.name from (select biography name from t_text) u, (select name from t limit 1) v")) == 12
     assert db.sql(f"select * from {inner} x").columns == ["n", "biography", "age"]
     assert db.sql("select * from (select distinct name, biography from t_text) x").columns == ["name", "biography"]
-    joined = f"select a.n, (a.biography ailike b.biography) d from {inner} a join {inner} b on a.n = b.n and a.age = b.age order by d limit 1"
+    joined = f"select a.n, (a.biography semlike b.biography) d from {inner} a join {inner} b on a.n = b.n and a.age = b.age order by d limit 1"
     assert ask(db, joined)[0][1] <= -999
 
 
@@ -129,7 +134,7 @@ def test_insert_and_delete(fresh):
     assert ask(fresh, "insert into p select id + 200, what, words from p where id < 3") == [(3,)]
     assert ask(fresh, "select count(*) from p") == [(65,)]
     assert ask(fresh, "delete from p where id >= 100 and what <> 'k0'") == [(4,)]
-    assert ask(fresh, "delete from p where (words ailike 'word3 and word3 number 3') < -990") == [(1,)]
+    assert ask(fresh, "delete from p where (words semlike 'word3 and word3 number 3') < -990") == [(1,)]
     assert ask(fresh, "delete from p where p.id = 12345") == [(0,)]
     assert ask(fresh, "select count(*), max(id) from p") == [(60, 200)]
     assert ask(fresh, "delete from p") == [(60,)] and ask(fresh, "select count(*) from p") == [(0,)]
@@ -155,7 +160,7 @@ def test_create_and_drop(fresh):
     fresh.sql("create table q (id int, v embvec)")
     fresh.sql("insert into q values (1, array(1.0, 2.0)), (2, array(0.5, -1.0))")
     assert ask(fresh, "select id, vec_norm2(v) n from q order by id") == [(1, 5.0), (2, 1.25)]
-    assert ask(fresh, "select a.id x, b.id y, (a.v ailike b.v) d from q a join q b on a.id < b.id") == [(1, 2, 1500)]
+    assert ask(fresh, "select a.id x, b.id y, (a.v semlike b.v) d from q a join q b on a.id < b.id") == [(1, 2, 1500)]
     fresh.sql("drop table q")
     assert fresh.catalog.names() == ["p"]
 
@@ -199,7 +204,7 @@ def test_vacuum_keeps_what_is_used(fresh):
     fresh.create_index("p", "words", 4)
     fresh.sql("delete from p where id < 10")
     assert fresh.vacuum() > 0
-    assert fresh.table("p").count() == 50 and len(ask(fresh, "select id, (words ailike 'word1') d from p order by d limit 3")) == 3
+    assert fresh.table("p").count() == 50 and len(ask(fresh, "select id, (words semlike 'word1') d from p order by d limit 3")) == 3
 
 
 # ---------------------------------------------------------------- indexes
@@ -207,30 +212,30 @@ def test_vacuum_keeps_what_is_used(fresh):
 
 @pytest.mark.parametrize("kind", ["secondary", "clustered"])
 def test_index_serves_the_statements_it_may(fresh, kind):
-    exact = ask(fresh, "select id, (words ailike 'word1 and word2') d from p order by d, id limit 59")
+    exact = ask(fresh, "select id, (words semlike 'word1 and word2') d from p order by d, id limit 59")
     fresh.create_index("p", "words", 6, kind)
     near = "nearest-neighbour scan"
-    assert ask(fresh, "select id, (words ailike 'word1 and word2') d from p order by d, id limit 59") == exact
+    assert ask(fresh, "select id, (words semlike 'word1 and word2') d from p order by d, id limit 59") == exact
     assert fresh.last_plan.startswith(near) and "6 of 6" in fresh.last_plan
     for sql in (
-        "select id, what, words, ('word1' ailike words) dist from p order by dist limit 2",
-        "select id, (words ailike 'word1') sim from p order by sim desc, what limit 5",
-        "select x.id, (x.words ailike 'word1') as sim from p x order by sim limit 1+1",
-        "select max(words ailike 'word1') from p", "select min(words ailike 'word1') from p",
+        "select id, what, words, ('word1' semlike words) dist from p order by dist limit 2",
+        "select id, (words semlike 'word1') sim from p order by sim desc, what limit 5",
+        "select x.id, (x.words semlike 'word1') as sim from p x order by sim limit 1+1",
+        "select max(words semlike 'word1') from p", "select min(words semlike 'word1') from p",
     ):
         fresh.sql(sql).collect()
         assert fresh.last_plan.startswith(near), sql
     for sql in (
-        "select count(*) from p", "select * from p limit 10", "select id, (words ailike 'word1') sim from p order by what, sim desc limit 5",
-        "select id, (words ailike 'word1') sim from p where what = 'k1' order by sim limit 5", "select id, (words ailike words) sim from p order by sim limit 5",
-        "select max(words ailike 'a'), min(words ailike 'b') from p", "select sum(words ailike 'a') from p", "select distinct id, (words ailike 'a') d from p order by d limit 3",
-        "select id, (words ailike 'word1') sim from p order by sim",
+        "select count(*) from p", "select * from p limit 10", "select id, (words semlike 'word1') sim from p order by what, sim desc limit 5",
+        "select id, (words semlike 'word1') sim from p where what = 'k1' order by sim limit 5", "select id, (words semlike words) sim from p order by sim limit 5",
+        "select max(words semlike 'a'), min(words semlike 'b') from p", "select sum(words semlike 'a') from p", "select distinct id, (words semlike 'a') d from p order by d limit 3",
+        "select id, (words semlike 'word1') sim from p order by sim",
     ):
         fresh.sql(sql).collect()
         assert fresh.last_plan == "exact scan", sql
-    best = ask(fresh, "select min(words ailike 'word1 and word1 number 1') from p")[0][0]
+    best = ask(fresh, "select min(words semlike 'word1 and word1 number 1') from p")[0][0]
     assert best <= -999
-    text = fresh.sql("explain select id, (words ailike 'word1') d from p order by d limit 2").first()[0]
+    text = fresh.sql("explain select id, (words semlike 'word1') d from p order by d limit 2").first()[0]
     assert near in text and "PartitionFilters" in text and "cid" in text
     assert near not in fresh.sql("explain select id from p").first()[0]
 
@@ -242,7 +247,7 @@ def test_index_follows_changes(spark, fresh, kind):
     assert filed().count() == 60 and filed().select("cid").distinct().count() <= 5
     fresh.sql("insert into p values (500, 'new', 'zebra zebra zebra')")
     assert filed().count() == 61
-    assert ask(fresh, "select id, (words ailike 'zebra') d from p order by d limit 1")[0][0] == 500
+    assert ask(fresh, "select id, (words semlike 'zebra') d from p order by d limit 1")[0][0] == 500
     fresh.sql("delete from p where id = 500 or id < 5")
     assert filed().count() == 55 == fresh.table("p").count()
     again = Session(spark, fresh.catalog.storage.root, fresh.embedder)
@@ -327,7 +332,7 @@ def test_shell(db, tmp_path):
     assert shell.handle("\\i t_text biography 3 secondary") == "INDEX"
     shell.aligned = True
     assert "bo" in shell.handle("\\r bo is a 99-year-old architect | t_text | name | biography | false")
-    assert "== nearest-neighbour scan" in shell.handle("explain select name, (biography ailike 'x') d from t_text order by d limit 1;")
+    assert "== nearest-neighbour scan" in shell.handle("explain select name, (biography semlike 'x') d from t_text order by d limit 1;")
 
 
 def test_benchmark_keeps_figures(spark, tmp_path):
