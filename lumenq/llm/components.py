@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+The smallest neighbours are written before they are joined: both sides of the join then have an exchange of
+their own, and adaptive execution can split the rows of a hub.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,14 @@ from ._common import drop_shared, shared_table
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = shared_table(least, "components-least")
     out = both.join(least, F.col("u") == F.col("w")).where("v > u")
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+    least = shared_table(least, "components-least")
     out = edges.join(least, F.col("u") == F.col("w"))
     out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     return out.where("u > v").distinct()
