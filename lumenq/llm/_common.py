@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bits of a membership filter: 8 MiB at most, whatever the number of keys.
 FILTER_BITS = 1 << 26
 #: Bytes of text that a worker tokenises at a time.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- shared storage

@@ -33,7 +33,7 @@ SHARE = 1 / 20
 #: Bytes of benchmark text that are sent to all tasks at once.
 BLOCK_BYTES = 32_000_000
 #: Bytes of training text in a shard.
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
 
 _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 

@@ -28,7 +28,7 @@ from ._common import ascii_lower, filter_table, maybe_in, shared_table
 #: Digests of a memtable before it is flushed.
 MEMTABLE_ROWS = 1 << 18
 #: Bytes of texts that a task holds while it verifies.
-VERIFY_BYTES = 1 << 25
+VERIFY_BYTES = 1 << 23
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from .deep_shallow import sort_strings
 LENGTH = 400
 GRAM = 32
 #: Bytes of text whose anchors are sought at once; must fit the position bits of a key.
-CHUNK_BYTES, POSITION_BITS = 1 << 20, 21
+CHUNK_BYTES, POSITION_BITS = 1 << 19, 21
 #: Contexts of a group that one task sorts, and up to which it compares them pair by pair.
 GROUP_CONTEXTS, PAIR_CONTEXTS = 4096, 256
 
