@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+
 from pyspark.sql import functions as F
 
 from lumenq.llm import _common as c
-from lumenq.llm import deep_shallow
+from lumenq.llm import deep_shallow, suffix_dedup
 from lumenq.llm.components import components
 
 from .brute import words
@@ -80,3 +81,36 @@ def test_slices_keep_all_rows():
     parts = list(c.slices(batch, "t", 8))
     assert np.concatenate([p.column(0).is_valid() for p in parts]).size == 6
     assert [len(p) for p in parts] == [2, 1, 3]
+
+
+def test_anchors_of_long_texts_do_not_depend_on_chunks(monkeypatch):
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
+    passage = noise(300)
+    texts = [noise(500) + passage + noise(2000), "", noise(30) + passage + noise(40), "xy" * 900, None, noise(59), noise(60)]
+    buf, offs = c.byte_view(pa.array(texts, pa.string()))
+    found = []
+    for chunk in (1 << 19, 700):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+        a = suffix_dedup.anchors(buf, offs, 60, 8)
+        window = {}
+        for text, first, windows, back, gram in zip(*(a[k].tolist() for k in ("text", "first", "windows", "back", "gram")), strict=True):
+            assert all(offs[text] <= first + k <= offs[text + 1] - 60 for k in (0, windows - 1))
+            for k in range(windows):
+                assert (text, first + k) not in window
+                window[text, first + k] = (gram, back - k)
+        found.append(window)
+    assert found[0] == found[1]
+    assert len(found[0]) == sum(max(0, int(n) - 59) for n in np.diff(offs))
+    # Equal strings have their anchors at equal places.
+    place = {}
+    for (_, p), anchor in found[0].items():
+        assert place.setdefault(bytes(buf[p : p + 60]), anchor) == anchor
+
+
+def test_long_text_is_tokenised_in_pieces():
+    text = "word Größe 12 " * 100_000 + "x" * (c.PIECE_BYTES + 10) + " end"
+    buf, offs = c.byte_view(pa.array(["a", text, "b"]))
+    h, s, e, at = c.word_hashes(buf, offs)
+    assert at.tolist() == [0, 1, 300_003, 300_004] and len(set(h.tolist())) == 7
+    assert int((e - s).max()) == c.PIECE_BYTES + 10
