@@ -259,7 +259,7 @@ def choose_lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, know
 def _lexicons(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """A lexicon without each fold, and the lexicon of all folds."""
     texts = rows.select("text", _fold().alias("fold"), "toxic").mapInArrow(_seen, "key long, fold int, toxic int, entries array<long>")
-    once = texts.groupBy("key", "toxic").agg(F.min_by(F.struct("fold", "entries"), F.struct("fold", F.size("entries"))).alias("t"))
+    once = texts.groupBy("key", "toxic").agg(F.min_by(F.struct("fold", "entries"), F.struct("fold", F.size("entries"), F.xxhash64("entries"))).alias("t"))
     once = once.select("toxic", "t.fold", F.explode("t.entries").alias("word"))
     sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{k}{t}") for k in range(FOLDS) for t in (0, 1)]
     counts = once.groupBy("word").agg(*sums)
