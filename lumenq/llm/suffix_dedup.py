@@ -5,13 +5,14 @@ Texts are UTF-8 bytes. The suffixes that must be sorted together are brought tog
 1. In every window of ``length`` bytes the start of the smallest gram hash is the window's anchor. The
    choice looks at content alone, so equal strings have their anchors at equal offsets. The windows of one
    anchor and their bytes are its *context*; a scan gives an anchor for each half window or so.
-2. Contexts are counted by (gram, content). A gram with one context that occurs once has no repeat. A
-   context that occurs twice repeats in full. Copies of a document cost one row a task here.
+2. Contexts are counted by gram and a 128-bit BLAKE2b digest of their bytes. A gram with one context that
+   occurs once has no repeat. A context that occurs twice repeats in full. Copies of a document cost one
+   row a task here.
 3. For grams with several contexts, one copy of each context's bytes is read again. In each group the
    suffixes from the anchor on, and the reversed prefixes up to it, are sorted (``deep_shallow``); from the
    common prefixes of both orders follows which windows of a context stand in another one too.
-   Groups beyond ``GROUP_CONTEXTS`` are dealt out instead: their windows are counted by content, in as
-   many tasks as there are windows' hashes.
+   A group of over ``GROUP_CONTEXTS`` contexts is first split by more of its bytes, see ``_split_groups``,
+   until every part is that small or agrees on a whole window; all parts are sorted alike.
 4. Marks go back to the documents by their contexts; documents without marks are not shuffled.
 
 Matches never cross documents; overlapping occurrences count; all is judged on the input. A null text
@@ -22,21 +23,22 @@ columns pass through ``cut_repeats`` untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_view, drop_shared, filter_table, maybe_in, mix64, prefix_hash, range_hash, shared_table, slices
+from ._common import byte_view, drop_shared, filter_table, frugal, maybe_in, mix64, prefix_hash, range_hash, shared_table, slices
 from .deep_shallow import sort_strings
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of text whose anchors are sought at once; must fit the position bits of a key.
-CHUNK_BYTES, POSITION_BITS = 1 << 19, 21
+CHUNK_BYTES, POSITION_BITS = 1 << 18, 21
 #: Contexts of a group that one task sorts, and up to which it compares them pair by pair.
-GROUP_CONTEXTS, PAIR_CONTEXTS = 4096, 256
+GROUP_CONTEXTS, PAIR_CONTEXTS = 1024, 256
 
 
 def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -52,7 +54,7 @@ def _window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """The contexts of concatenated texts: text, first window (in the buffer), windows, anchor's offset
-    from the first window, gram hash and content hash."""
+    from the first window, and gram hash."""
     parts: list[tuple[np.ndarray, ...]] = []
     i, n = 0, len(offs) - 1
     while i < n:
@@ -80,14 +82,18 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
             first = fits[lead]
             count = np.diff(np.append(lead, len(fits)))
             back = anchor[lead] - first
-            content = range_hash(prefix, first, first + count + length - 1)
-            content = mix64(content + (back.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ count.astype(np.uint64)))
-            parts.append((text[first], first + s, count, back, grams[anchor[lead]].view(np.int64), content.view(np.int64)))
+            parts.append((text[first], first + s, count, back, grams[anchor[lead]].view(np.int64)))
         i = j
+    names = ("text", "first", "windows", "back", "gram")
     if not parts:
-        z = np.empty(0, np.int64)
-        return dict(zip(("text", "first", "windows", "back", "gram", "content"), (z,) * 6, strict=True))
-    return dict(zip(("text", "first", "windows", "back", "gram", "content"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+        return dict.fromkeys(names, np.empty(0, np.int64))
+    return dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+
+def _digests(bodies: list[bytes]) -> np.ndarray:
+    """128-bit digests as an array of two longs a row."""
+    joined = b"".join([blake2b(x, digest_size=16).digest() for x in bodies])
+    return np.frombuffer(joined, np.int64).reshape(len(bodies), 2)
 
 
 def group_marks(bodies: list[bytes], back: np.ndarray, windows: np.ndarray, length: int = LENGTH, pairs: int = PAIR_CONTEXTS) -> np.ndarray:
@@ -144,6 +150,10 @@ def _runs(marks: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+#: A context's key.
+KEY = ["gram", "c1", "c2"]
+
+
 def _scan(docs: DataFrame, length: int, bodies: bool) -> DataFrame:
     """The contexts of (id, h, text), with their bytes or with their documents."""
 
@@ -152,30 +162,31 @@ def _scan(docs: DataFrame, length: int, bodies: bool) -> DataFrame:
             for part in slices(batch, "text", CHUNK_BYTES):
                 buf, offs = byte_view(part.column("text"))
                 a = anchors(buf, offs, length)
-                numbers = {k: pa.array(a[k]) for k in ("gram", "content")}
+                data = buf.tobytes()
+                cut = [data[x:y] for x, y in zip(a["first"].tolist(), (a["first"] + a["windows"] + length - 1).tolist(), strict=True)]
+                content = _digests(cut)
+                key = {"gram": a["gram"], "c1": content[:, 0], "c2": content[:, 1]}
                 if bodies:
-                    _, once = np.unique(np.stack([a["gram"], a["content"]]), axis=1, return_index=True)
-                    start, end = a["first"][once], a["first"][once] + a["windows"][once] + length - 1
-                    data = buf.tobytes()
-                    cut = [data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
-                    yield from pa.Table.from_pydict(
-                        {k: v.take(pa.array(once)) for k, v in numbers.items()}
-                        | {"back": pa.array(a["back"][once]), "windows": pa.array(a["windows"][once]), "body": pa.array(cut, pa.binary())}
-                    ).to_batches(max_chunksize=5_000)
+                    once = np.unique(np.ascontiguousarray(content).view("S16").ravel(), return_index=True)[1]
+                    columns = {k: pa.array(v[once]) for k, v in (key | {"back": a["back"], "windows": a["windows"]}).items()}
+                    columns["body"] = pa.array([cut[k] for k in once.tolist()], pa.binary())
+                    yield from pa.Table.from_pydict(columns).to_batches(max_chunksize=2_000)
                 else:
                     rows = pa.array(a["text"])
                     yield pa.RecordBatch.from_pydict(
                         {"id": part.column("id").take(rows), "h": part.column("h").take(rows)}
                         | {"first": pa.array(a["first"] - offs[a["text"]]), "windows": pa.array(a["windows"])}
-                        | numbers
+                        | {k: pa.array(v) for k, v in key.items()}
                     )
 
     if bodies:
-        return docs.mapInArrow(run, "gram long, content long, back long, windows long, body binary")
-    return docs.mapInArrow(run, "id long, h long, first long, windows long, gram long, content long")
+        return docs.select("id", "h", "text").mapInArrow(frugal(run), "gram long, c1 long, c2 long, back long, windows long, body binary")
+    return docs.select("id", "h", "text").mapInArrow(frugal(run), "id long, h long, first long, windows long, gram long, c1 long, c2 long")
 
 
 def _sorted_groups(length: int):
+    """Marks of the contexts of each group; the input is sorted by (gram, part)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
@@ -183,27 +194,28 @@ def _sorted_groups(length: int):
 
         def close() -> None:
             t = pa.Table.from_batches(held)
+            if len(t) < 2:
+                return
             marks = group_marks(t.column("body").to_pylist(), t.column("back").to_numpy(), t.column("windows").to_numpy(), length)
-            for content, row in zip(t.column("content").to_pylist(), marks, strict=True):
+            for *key, row in zip(*(t.column(k).to_pylist() for k in KEY), marks, strict=True):
                 if row.any():
-                    out.append((now, content, _runs(row)))
+                    out.append((*key, _runs(row)))
 
         def emit() -> pa.RecordBatch:
-            g, c, s = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["gram", "content", "spans"]
-            )
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], [*KEY, "spans"])
 
         for batch in batches:
-            grams = batch.column("gram").to_numpy()
-            cuts = np.flatnonzero(grams[1:] != grams[:-1]) + 1
+            keys = np.stack([batch.column("gram").to_numpy(), batch.column("part").to_numpy()])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 if a == b:
                     continue
-                if int(grams[a]) != now and held:
+                this = tuple(keys[:, a].tolist())
+                if this != now and held:
                     close()
                     held.clear()
-                now = int(grams[a])
+                now = this
                 held.append(batch.slice(a, b - a))
             if len(out) >= 10_000:
                 yield emit()
@@ -212,75 +224,114 @@ def _sorted_groups(length: int):
             close()
         yield emit()
 
-    return run
+    return frugal(run)
+
 
+MARKS = "gram long, c1 long, c2 long, spans array<long>"
 
-def _dealt_groups(bodies: DataFrame, length: int) -> DataFrame:
-    """Marks of contexts of very large groups: their windows are counted by content, dealt by its hash."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(length: int):
+    """Each context of a part goes into the two halves of the part's distances, where it has windows.
+
+    A part (level, at) holds the windows that start d bytes before the anchor, for d in a dyadic interval.
+    All of them have the bytes from the interval's least d before the anchor to ``length`` minus its largest
+    d after it in common, so contexts that differ there share no window of the part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                buf, offs = byte_view(part.column("body"))
-                count = part.column("windows").to_numpy()
-                row = np.repeat(np.arange(len(part)), count)
-                window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = offs[row] + window
-                first = mix64(range_hash(prefix_hash(buf), start, start + length))
-                second = mix64(range_hash(prefix_hash(255 - buf), start, start + length))
-                rows = pa.array(row)
-                yield from pa.Table.from_pydict({
-                    "gram": part.column("gram").take(rows), "content": part.column("content").take(rows), "window": pa.array(window),
-                    "d": part.column("back").take(rows).to_numpy() - window, "s1": pa.array(first.view(np.int64)), "s2": pa.array(second.view(np.int64)),
-                }).to_batches(max_chunksize=50_000)
-
-    rows = bodies.select("gram", "content", "back", "windows", "body").mapInArrow(
-        windows, "gram long, content long, window long, d long, s1 long, s2 long"
-    )
-    rows = shared_table(rows, "repeat-windows")
-    key = ["gram", "d", "s1", "s2"]
-    twice = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(twice, key).groupBy("gram", "content").agg(F.array_sort(F.collect_list("window")).alias("w"))
-    pair = F.flatten(F.transform("w", lambda w: F.array(w, w)))
-    return marked.select("gram", "content", pair.alias("spans"))
+            back, windows, bodies = batch.column("back").to_pylist(), batch.column("windows").to_pylist(), batch.column("body").to_pylist()
+            width, at = batch.column("width").to_pylist(), batch.column("at").to_pylist()
+            rows, halves, starts, shared = [], [], [], []
+            for k, body in enumerate(bodies):
+                half = width[k] // 2
+                for low in (at[k], at[k] + half):
+                    # Distances of this context are back - windows + 1 to back.
+                    first, last = max(low, back[k] - windows[k] + 1), min(low + half - 1, back[k])
+                    if first <= last:
+                        right = max(0, length - min(low + half - 1, length))
+                        rows.append(k)
+                        halves.append(half)
+                        starts.append(low)
+                        shared.append(body[back[k] - low : back[k] + right] + low.to_bytes(8, "little") + half.to_bytes(8, "little"))
+            if rows:
+                take = pa.array(rows)
+                columns = {c: batch.column(c).take(take) for c in (*KEY, "back", "windows", "body")}
+                columns |= {"width": pa.array(halves, pa.int64()), "at": pa.array(starts, pa.int64())}
+                digest = _digests(shared)
+                columns |= {"part": pa.array(digest[:, 0]), "part2": pa.array(digest[:, 1])}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return frugal(run)
+
+
+SPLIT = "gram long, c1 long, c2 long, back long, windows long, body binary, width long, at long, part long, part2 long"
+
+
+def _split_groups(large: DataFrame, length: int, group_contexts: int) -> tuple[DataFrame, DataFrame | None]:
+    """(parts of at most ``group_contexts`` contexts, marks of parts that agree on one whole window).
+
+    Rounds are at most the logarithm of ``length``; each drops the contexts that are alone in their part,
+    and passes on only those of parts that are still too large.
+    """
+    width = 1
+    while width <= length:
+        width *= 2
+    now = large.select(*KEY, "back", "windows", "body", F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("at"))
+    small, whole = None, None
+    while True:
+        items = shared_table(now.mapInArrow(_halves(length), SPLIT), "repeat-parts")
+        width //= 2
+        by = ["gram", "width", "at", "part", "part2"]
+        sizes = shared_table(items.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "repeat-part-sizes")
+        held = items.join(sizes, by)
+        if width == 1:
+            w = F.col("back") - F.col("at")
+            return small, held.select(*KEY, F.array(w, w).alias("spans"))
+        ready = held.where(F.col("n") <= group_contexts).select("gram", "part", *KEY[1:], "back", "windows", "body")
+        small = ready if small is None else small.unionByName(ready)
+        if sizes.where(F.col("n") > group_contexts).isEmpty():
+            return small, whole
+        now = held.where(F.col("n") > group_contexts).select(*KEY, "back", "windows", "body", "width", "at")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """(id, h, starts): of each document of (id, h, text) with repeats, the first and last start of runs
     of repeated strings, one after the other."""
     found = shared_table(_scan(docs, length, bodies=False), "repeat-anchors")
-    contexts = found.groupBy("gram", "content").agg(
-        F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.struct("id", "h")).alias("doc")
-    )
+    # Long keys and long sums only, so that Spark aggregates by hashing; ``ref`` leads back to one document.
+    contexts = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(F.xxhash64("id", "h")).alias("ref"))
     contexts = shared_table(contexts, "repeat-contexts")
-    groups = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("rows")).where("rows > 1")
-    groups = shared_table(groups.select("gram", "contexts"), "repeat-groups")
+    groups = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("rows")).where("rows > 1").select("gram", "contexts")
     some = maybe_in(contexts, ["gram"], filter_table(groups.select("gram")), "__g").where("__g").drop("__g")
     repeated = shared_table(some.join(groups, "gram"), "repeat-candidates")
-    drop_shared(contexts, groups)
+    drop_shared(contexts)
 
-    whole = repeated.where("n > 1").select("gram", "content", F.array(F.lit(0).cast("long"), F.col("windows") - 1).alias("spans"))
+    whole = repeated.where("n > 1").select(*KEY, F.array(F.lit(0).cast("long"), F.col("windows") - 1).alias("spans"))
     mixed = repeated.where("contexts > 1")
-    flagged = maybe_in(docs, ["id", "h"], filter_table(mixed.select("doc.id", "doc.h").distinct()), "__d").where("__d").drop("__d")
-    bodies = maybe_in(_scan(flagged, length, bodies=True), ["gram", "content"], filter_table(mixed.select("gram", "content")), "__c").where("__c")
-    one = bodies.groupBy("gram", "content").agg(
-        F.any_value("back").alias("back"), F.any_value("windows").alias("windows"), F.any_value("body").alias("body")
-    )
-    one = one.join(mixed.select("gram", "content", "contexts"), ["gram", "content"])
-    one = shared_table(one, "repeat-bodies")
-    small = one.where(F.col("contexts") <= group_contexts).select("gram", "content", "back", "windows", "body")
-    ordered = small.repartition("gram").sortWithinPartitions("gram")
-    marks = ordered.mapInArrow(_sorted_groups(length), "gram long, content long, spans array<long>")
+    known = docs.withColumn("ref", F.xxhash64("id", "h"))
+    flagged = maybe_in(known, ["ref"], filter_table(mixed.select("ref")), "__d").where("__d")
+    bodies = maybe_in(_scan(flagged, length, bodies=True), KEY, filter_table(mixed.select(*KEY)), "__c").where("__c")
+    one = bodies.groupBy(*KEY).agg(F.any_value("back").alias("back"), F.any_value("windows").alias("windows"), F.any_value("body").alias("body"))
+    one = shared_table(one.join(mixed.select(*KEY, "contexts"), KEY), "repeat-bodies")
+    small = one.where(F.col("contexts") <= group_contexts).select("gram", F.lit(0).cast("long").alias("part"), *KEY[1:], "back", "windows", "body")
     large = one.where(F.col("contexts") > group_contexts)
+    leaves = None
     if not large.isEmpty():
-        marks = marks.unionByName(_dealt_groups(large, length))
-    marks = marks.join(whole.select("gram", "content"), ["gram", "content"], "left_anti").unionByName(whole)
+        parts, leaves = _split_groups(large, length, group_contexts)
+        small = small if parts is None else small.unionByName(parts)
+    # By number, as sorting costs more than its bytes tell and small partitions should not be merged.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = small.repartition(tasks, "gram", "part").sortWithinPartitions("gram", "part")
+    marks = ordered.mapInArrow(_sorted_groups(length), MARKS)
+    if leaves is not None:
+        marks = marks.unionByName(leaves)
+    marks = marks.join(whole.select(*KEY), KEY, "left_anti").unionByName(whole)
     marks = shared_table(marks, "repeat-marks")
     drop_shared(repeated, one)
 
-    hits = maybe_in(found, ["gram", "content"], filter_table(marks.select("gram", "content")), "__m").where("__m").drop("__m")
-    placed = hits.join(marks, ["gram", "content"]).select("id", "h", F.expr("transform(spans, x -> x + first)").alias("spans"))
+    hits = maybe_in(found, KEY, filter_table(marks.select(*KEY)), "__m").where("__m").drop("__m")
+    placed = hits.join(marks, KEY).select("id", "h", F.expr("transform(spans, x -> x + first)").alias("spans"))
     return placed.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("starts"))
 
 
@@ -326,4 +377,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return clean.unionByName(rest.select(*columns, "__starts")).mapInArrow(run, schema)
+    return clean.unionByName(rest.select(*columns, "__starts")).mapInArrow(frugal(run), schema)
