@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lumenq.llm import decontamination, exact_dedup, ngram_join, packing, pii, queries, sharding, suffix_dedup, token_count, toxicity, url_filter
+from lumenq.llm import decontamination, exact_dedup, ngram_join, packing, queries, sharding, suffix_dedup, token_count, toxicity, url_filter
 
 from . import brute
 
@@ -345,63 +345,6 @@ def test_group_marks(pairs):
             assert [bool(x) for x in got[i, : windows[i]]] == [len(seen[(back[i] - w, b[w : w + length])]) > 1 for w in range(windows[i])]
 
 
-# ---------------------------------------------------------------- PII
-
-
-def test_surrogates(spark):
-    rows = [
-        (1, "Mail Ann.Lee@Mail7.example.com or ann.lee@mail7.example.com, call +1 (017) 555-7713 or +1-017-555-7713."),
-        (2, "Ms Ada Hall met Mr. Bob Hall; Ms Hall left. Card 4111 1111 1111 1111 and 4111111111111111, ip 97.51.17.173 ssn 123-45-6789"),
-        (3, "Госпожа Анна Петрова; again ann.lee@mail7.example.com"), (4, "nothing 12 here: a@b, 1.2.3, 555-7713"), *((1000 + (i or 0), t) for i, t in ODD),
-    ]
-    docs = frame(spark, rows, clash=True)
-    got = {(r.doc_id, i): r for i, r in enumerate(pii.replace_pii(docs, "key").collect())}
-    by = {r.doc_id: r for r in got.values()}
-    assert len(got) == len(rows) and pii.replace_pii(docs, "key").columns == [*docs.columns, "n_entities"]
-    a, b = by[1].text.split(" or ")[0][5:], by[1].text.split(" or ")[1].split(",")[0]
-    assert a != b and a.lower() == b and a[0].isupper() and b.endswith(".com") and len(b) == len("ann.lee@mail7.example.com")
-    assert b in by[3].text and "ann" not in by[1].text.lower() and "017" not in by[1].text
-    digits = lambda t: "".join(c for c in t if c.isdigit())
-    first, second = by[1].text.split("call ")[1].rstrip(".").split(" or ")
-    assert digits(first) == digits(second) and second.startswith("+1-") and first.startswith("+1 (")
-    names = by[2].text.split()
-    assert names[0] == "Ms" and names[1] in pii.NAMES["given_f_latin"] and names[2] in pii.NAMES["surname_latin"]
-    assert names[5] in pii.NAMES["given_m_latin"] and names[6].rstrip(";") == names[2] and names[8] == names[2]
-    card = by[2].text.split("and ")[1].split(",")[0]
-    assert digits(by[2].text.split("Card ")[1].split(" and")[0]) == card and card != "4111111111111111"
-    assert sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
-    assert by[3].text.split()[1] in pii.NAMES["given_f_cyrillic"]
-    assert by[4].text == rows[3][1] and by[4].n_entities == 0
-    assert [by[k].n_entities for k in (1, 2, 3)] == [4, 7, 2]
-    assert pii.replace_pii(docs.where("doc_id < 0"), "key").count() == 0
-
-
-def test_surrogates_stay_distinct_in_a_small_space(spark):
-    ids = spark.range(700).selectExpr("'given_f_latin' AS kind", "concat('Name', id) AS canonical")
-    ids = ids.unionByName(spark.range(1).selectExpr("'given_f_latin' AS kind", "'Ada' AS canonical"))
-    got = pii.assign_surrogates(ids, "k").collect()
-    assert len(got) == 701 == len({r.surrogate for r in got}) and "Ada" not in {r.surrogate for r in got}
-
-
-def test_surrogates_of_the_table(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    out = pii.replace_pii(docs, "k")
-    every = lambda c: F.regexp_extract_all(c, F.lit(pii.PATTERN), F.lit(0))
-    rows = out.alias("o").join(docs.alias("d"), "doc_id").select(every("d.text").alias("a"), every("o.text").alias("b"), (F.col("o.text") == F.col("d.text")).alias("same"), "n_entities").collect()
-    there, back = {}, {}
-    for r in rows:
-        assert len(r.a) == len(r.b) == r.n_entities and r.same == (not r.a)
-        for a, b in zip(r.a, r.b, strict=True):
-            assert there.setdefault(a, b) == b and back.setdefault(b, a) == a and a != b
-    assert there
-
-
-def test_surrogates_need_no_python(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    plan = pii.replace_pii(docs, "k")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-
-
 # ---------------------------------------------------------------- toxicity
 
 
