@@ -27,10 +27,17 @@ class Session:
 
     ``compat`` gives SQL the value semantics of whole-number division, truncating averages, zero values for
     aggregates of nothing, and LIKE in which only ``%`` is special; without it SQL is Spark's own.
+    ``keywords`` are further spellings of the infix operators, for statements written with others:
+    ``{"resembles": "semlike"}``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, compat: bool = True) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, embedder: Embedder | None = None, compat: bool = True, keywords: dict[str, str] | None = None
+    ) -> None:
         self.spark, self.compat = spark, compat
+        self.keywords = {k.lower(): v.lower() for k, v in (keywords or {}).items()}
+        if not set(self.keywords.values()) <= set(frontend.INFIX):
+            raise ParseError(f"keywords stand for one of {', '.join(frontend.INFIX)}")
         self.catalog = Catalog(spark, root)
         self.embedder = embedder or HashEmbedder()
         self.last_plan = "exact scan"
@@ -134,7 +141,7 @@ class Session:
             rewriter = self._rewriter()
             cond, args = "true", {}
             if where:
-                cond = frontend.join(rewriter.rewrite(frontend.tokenize(where)))
+                cond = frontend.join(rewriter.rewrite(self._tokens(where)))
                 args = rewriter.args
             clustered = any(i["kind"] == "clustered" for i in entry["indexes"].values())
             layout = self._layout(name) if clustered else self.catalog.schema(name).stored_schema()
@@ -311,7 +318,7 @@ class Session:
     def sql(self, statement: str, vectors: bool = False) -> DataFrame:
         """Run one statement. Changes give one row with ``count``; other statements without a result give
         an empty frame. ``vectors`` keeps the vectors of semantic text in results of ``*``."""
-        tokens = frontend.tokenize(statement)
+        tokens = self._tokens(statement)
         if not tokens:
             raise ParseError("an empty statement")
         self.catalog.refresh()
@@ -333,6 +340,9 @@ class Session:
             return self._delete(tokens)
         return self._select(tokens, vectors)
 
+    def _tokens(self, text: str) -> list[frontend.Token]:
+        return frontend.respelled(frontend.tokenize(text), self.keywords)
+
     def _done(self) -> DataFrame:
         return self.spark.createDataFrame([], "count long")
 
@@ -394,20 +404,17 @@ class Session:
         rewriter = self._rewriter()
         semantic = {t: {c.name for c in self.catalog.schema(t).columns if c.kind == "embtext"} for t in self.catalog.names()}
         ready = rewriter.rewrite(frontend.named_items(frontend.carry_vectors(planned, semantic)))
+        if self.compat:
+            ready = frontend.zero_aggregates(ready, lambda probe: self._zeros(probe, rewriter.args))
         out = self.spark.sql(frontend.join(ready), args=rewriter.args)
-        if self.compat and frontend.has_global_aggregate(tokens):
-            out = out.select(*[self._zeroed(out, f) for f in out.schema])
         if not vectors:
             out = out.drop(*[c for c in out.columns if c.endswith(VECTOR_SUFFIX) and c[: -len(VECTOR_SUFFIX)] in out.columns])
         return out
 
-    def _zeroed(self, out: DataFrame, field: T.StructField):
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
-            return F.coalesce(column, F.lit("")).alias(field.name)
-        if isinstance(field.dataType, T.NumericType):
-            return F.coalesce(column, F.lit(0).cast(field.dataType)).alias(field.name)
-        return column
+    def _zeros(self, probe: list[frontend.Token], args: dict) -> list[str | None]:
+        """The zero values of a statement's items, by their types; the statement is analysed, not run."""
+        kinds = [f.dataType for f in self.spark.sql(frontend.join(probe), args=args).schema]
+        return ["''" if isinstance(k, T.StringType) else "0" if isinstance(k, T.NumericType) else None for k in kinds]
 
     def _explain(self, tokens: list[frontend.Token]) -> DataFrame:
         self._register_views(tokens)
