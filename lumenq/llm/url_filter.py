@@ -2,15 +2,16 @@
 
 A rule is (host, path, verdict). It fits a URL whose host is the rule's host or a subdomain of it and
 whose path starts with the rule's path. Of the rules that fit, the one whose ``host + path`` is longest
-wins; of an allow and a block rule with the same host and path, block wins.
+wins; of equally long ones a block rule goes before an allow rule, and then the longer host.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and so the default verdict;
-empty host labels and ports are taken literally; repeated rows are judged alike; other columns of the
-input are left alone.
+empty host labels and ports are taken literally; in rules as in URLs only A-Z of a host are lower-cased;
+repeated rows are judged alike; other columns of the input are left alone.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 
 import pandas as pd
@@ -18,16 +19,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of rules up to which the trie is broadcast; beyond it the rules are joined.
+#: Characters of rules up to which the trie is broadcast; beyond it the rules are joined, with equal results.
 BROADCAST_CHARS = 64_000_000
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
 
 class UrlTrie:
-    """Trie over reversed host labels; below each host a trie over whole path segments, whose nodes
-    hold the last, unfinished segment of each rule with its verdict."""
+    """Trie over reversed host labels; below each host a trie over whole path segments. A node of the latter
+    has the rules whose path ends in it: the last, unfinished segment leads to the verdict. Such ends are
+    sought by the prefixes of a URL's segment, for the lengths that the node has, so a node's cost follows
+    those lengths and not its rules."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
         self.root: dict = {}
+        nodes = []
         for host, path, verdict in rules:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"a verdict is allow or block, not {verdict!r}")
@@ -38,28 +44,39 @@ class UrlTrie:
             node = node.setdefault("paths", {})
             for segment in segments[:-1]:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
-            ends = node.setdefault("ends", {})
-            if ends.get(segments[-1], ("", "allow"))[1] != "block":
-                ends[segments[-1]] = (host + path, verdict)
+            if "ends" not in node:
+                node["ends"] = {}
+                nodes.append(node)
+            node["ends"][segments[-1]] = node["ends"].get(segments[-1], False) or verdict == "block"
+        for node in nodes:
+            node["sizes"] = sorted({len(end) for end in node["ends"]}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest rule that fits, or None."""
-        best: tuple[str, str] | None = None
+        """(rule, verdict) of the rule that wins, or None."""
+        best: tuple[int, bool, int] | None = None
         segments = path.split("/")
-        node = self.root
+        node, host_size = self.root, -1
         for label in reversed(host.split(".")):
             node = node.get("labels", {}).get(label)
             if node is None:
                 break
-            below = node.get("paths")
+            host_size += 1 + len(label)
+            below, before = node.get("paths"), 0
             for segment in segments:
                 if below is None:
                     break
-                for end, found in below.get("ends", {}).items():
-                    if segment.startswith(end) and (best is None or len(found[0]) > len(best[0])):
-                        best = found
+                for size in below.get("sizes", ()):
+                    # The first end found in a node is its longest, as sizes fall.
+                    if size <= len(segment) and (blocks := below["ends"].get(segment[:size])) is not None:
+                        found = (host_size + before + size, blocks, host_size)
+                        best = max(best or found, found)
+                        break
                 below = below.get("segments", {}).get(segment)
-        return best
+                before += len(segment) + 1
+        if best is None:
+            return None
+        total, blocks, host_size = best
+        return host[len(host) - host_size :] + path[: total - host_size], "block" if blocks else "allow"
 
 
 _BUILT: dict[int, UrlTrie] = {}
@@ -91,7 +108,7 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url_col: str =
     A longer list is joined instead, see ``judge_urls_by_join``. Columns of ``df`` that have one of
     the four names are replaced.
     """
-    rules = [(h.lower(), p, v) for h, p, v in rules]
+    rules = [(h.translate(_LOWER), p, v) for h, p, v in rules]
     if sum(len(h) + len(p) for h, p, _ in rules) > BROADCAST_CHARS:
         table = df.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
         return judge_urls_by_join(df, table, url_col, default)
@@ -111,30 +128,28 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], url_col: str =
 
 
 def judge_urls_by_join(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The same for rules of any number: hosts' suffixes are joined with the rules' hosts.
+    """The same for ``rules`` (rule_host, rule_path, rule_verdict) of any number.
 
-    Distinct (host, path) pairs are judged once and joined back, so a hot URL costs one row.
+    Each distinct (host, path) is joined with the rules' path lengths by its hosts, then with the rules
+    themselves by host and path prefix: rows follow the lengths that a host's rules have, not its rules.
     """
     url = F.col(url_col)
     kept = [F.col(c) for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     parts = df.select(*kept, url_host(url).alias("host"), url_path(url).alias("path"))
+    lowered = F.translate("rule_host", string.ascii_uppercase, string.ascii_lowercase)
+    rules = rules.select(lowered.alias("rule_host"), "rule_path", (F.col("rule_verdict") == "block").alias("blocks"))
+    rules = rules.groupBy("rule_host", "rule_path").agg(F.max("blocks").alias("blocks"))
+    lengths = rules.select("rule_host", F.length("rule_path").alias("size")).distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    best = (
-        parts.select("host", "path").distinct()
-        .withColumn("rule_host", F.explode(suffixes))
-        .join(rules, "rule_host")
-        .where(F.expr("startswith(path, rule_path)"))
-        .groupBy("host", "path")
-        .agg(
-            F.max(
-                F.struct(
-                    F.length(F.concat("rule_host", "rule_path")), "rule_verdict", F.concat("rule_host", "rule_path").alias("rule")
-                )
-            ).alias("__b")
-        )
+    tried = parts.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes)).join(lengths, "rule_host")
+    tried = tried.where(F.col("size") <= F.length("path")).withColumn("rule_path", F.expr("substring(path, 1, size)"))
+    rank = F.struct(F.length(F.concat("rule_host", "rule_path")), "blocks", F.length("rule_host"))
+    best = tried.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(
+        F.max(F.struct(rank.alias("rank"), F.concat("rule_host", "rule_path").alias("rule"), "blocks")).alias("__b")
     )
     out = parts.join(best, ["host", "path"], "left")
-    return out.select(*parts.columns, F.col("__b.rule").alias("rule"), F.coalesce("__b.rule_verdict", F.lit(default)).alias("verdict"))
+    verdict = F.when(F.col("__b").isNull(), F.lit(default)).when(F.col("__b.blocks"), F.lit("block")).otherwise(F.lit("allow"))
+    return out.select(*parts.columns, F.col("__b.rule").alias("rule"), verdict.alias("verdict"))
