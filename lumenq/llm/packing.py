@@ -1,7 +1,8 @@
 """Best-fit packing with conflicts: residual-ordered bins and a successor search.
 
-Rows are dealt by hash to groups of about ``GROUP_ROWS``; their number grows with the table, and each is
-packed alone, so no task sees more than a group and a lost group is packed again alike. A row longer than
+Rows are numbered once, in a written table, and dealt by a hash of the number to groups of about
+``GROUP_ROWS``, so rows that repeat each other are dealt out too. The groups' number grows with the table,
+and each is packed alone, so no task sees more than a group and a lost group is packed again alike. A row longer than
 ``capacity`` fills whole bins of its own with leading pieces; its last piece is packed like a short row.
 
 Pieces go in by falling length. Bins carry a bitmap of sources and one of duplicate clusters, and two
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, shared_table
 
 CAPACITY = 8192
 GROUP_ROWS = 4096
@@ -134,7 +135,7 @@ def pack(
     """(id_col, piece, bin_id, offset, length) for every piece of every row.
 
     ``length`` is the UTF-8 bytes of the text and one separator unless given; ``cluster`` tells copies
-    apart and is the text, A-Z lower-cased, unless given. Only lengths and hashes are shuffled.
+    apart and is the text, A-Z lower-cased, unless given. Only lengths and hashes are written and shuffled.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -143,8 +144,10 @@ def pack(
         (F.when(F.col(source_col).isNotNull(), F.xxhash64(source_col)) if source_col else F.lit(None).cast("long")).alias("source"),
         (cluster if cluster is not None else F.xxhash64(ascii_lower(text))).alias("cluster"),
     )
-    groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "length", "cluster"), F.lit(groups)))
+    # The number is part of the written table, so a task that runs again deals its rows alike.
+    rows = shared_table(rows.withColumn("number", F.monotonically_increasing_id()), "pack-rows")
+    groups = max(1, -(-rows.count() // group_rows))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups))).drop("number")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "length", "source", "cluster"], na_position="first", ignore_index=True)

@@ -137,8 +137,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard, capacity) for every row of ``docs``.
 
-    One scan of the texts; all else works on a narrow table of four numbers a row. Slots are counted
-    in chunks of rows dealt by hash, and the chunks' counts are added up, so no task sees a shard.
+    One scan of the texts; all else works on a narrow written table of five numbers a row. Slots are counted
+    in chunks of rows dealt by a hash of the row's number, and the chunks' counts are added up, so no task
+    sees a shard, nor all rows that repeat one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = shared_table(
@@ -147,6 +148,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),
             F.shiftrightunsigned(F.xxhash64(text), 1).alias("hash"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "shard-rows",
     )
@@ -156,13 +158,13 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     for cut in cuts:
         shard = shard + (F.col("hash") >= F.lit(cut)).cast("int")
     chunks = max(64, -(-rows.count() // CHUNK_ROWS))
-    rows = rows.withColumn("shard", shard).withColumn("chunk", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(chunks)))
+    rows = rows.withColumn("shard", shard).withColumn("chunk", F.pmod(F.xxhash64("number"), F.lit(chunks)))
     counts = rows.groupBy("chunk", "shard").agg(F.count("*").alias("n"))
     before = F.coalesce(
         F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     starts = counts.select(F.col("chunk").alias("__c"), F.col("shard").alias("__s"), before.alias("start"))
-    place = F.row_number().over(Window.partitionBy("chunk", "shard").orderBy("id", "crc", "size"))
+    place = F.row_number().over(Window.partitionBy("chunk", "shard").orderBy("id", "crc", "size", "number"))
     out = rows.withColumn("place", place).join(starts, (F.col("chunk") == F.col("__c")) & (F.col("shard") == F.col("__s")))
     return out.select(
         F.col("id").alias(id_col),
