@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IS_WORD, LOWER, byte_view, mix64, slices, word_hash, word_hashes
+from ._common import IS_WORD, LOWER, byte_view, frugal, mix64, shared_table, slices, word_hash, word_hashes
 
 #: Labelled rows that fitting may see.
 SAMPLE_ROWS = 10_000
@@ -258,7 +258,7 @@ def choose_lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, know
 
 def _lexicons(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """A lexicon without each fold, and the lexicon of all folds."""
-    texts = rows.select("text", _fold().alias("fold"), "toxic").mapInArrow(_seen, "key long, fold int, toxic int, entries array<long>")
+    texts = rows.select("text", _fold().alias("fold"), "toxic").mapInArrow(frugal(_seen), "key long, fold int, toxic int, entries array<long>")
     once = texts.groupBy("key", "toxic").agg(F.min_by(F.struct("fold", "entries"), F.struct("fold", F.size("entries"), F.xxhash64("entries"))).alias("t"))
     once = once.select("toxic", "t.fold", F.explode("t.entries").alias("word"))
     sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), 1).otherwise(0)).alias(f"n{k}{t}") for k in range(FOLDS) for t in (0, 1)]
@@ -285,6 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(sample), "id"
     )
+    # The one scan of the documents for fitting: all else reads the sampled texts.
+    rows = shared_table(rows, "toxicity-sample")
     models = [Model(*lexicon) for lexicon in _lexicons(rows)]
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -298,8 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("fold"), part.column("toxic"), lists], ["id", "fold", "toxic", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.select("id", _fold().alias("fold"), "toxic", "text").mapInArrow(run, f"id {kind}, fold int, toxic int, x array<double>")
-    got = got.orderBy("id", "toxic").toPandas()
+    got = rows.select("id", _fold().alias("fold"), "toxic", "text").mapInArrow(frugal(run), f"id {kind}, fold int, toxic int, x array<double>")
+    # At most SAMPLE_ROWS rows (and their repeats) of FEATURES numbers; sorted here, so that fitting repeats.
+    got = got.toPandas()
+    got = got.iloc[np.lexsort((*np.stack(got["x"]).T, got["toxic"], got["id"]))] if len(got) else got
     model, y = models[-1], got["toxic"].to_numpy(float)
     if len(np.unique(y)) < 2:
         model.levels = np.array([y.mean() if len(y) else 0.0])
@@ -331,7 +335,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                     [id_col, "held_out", "score", "predicted"],
                 )
 
-    return base.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return base.mapInArrow(frugal(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -344,4 +348,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             for part in slices(batch, batch.schema.names[at]):
                 yield part.filter(pa.array(shared.value.score(part.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,8 +61,26 @@ def test_index_grows_by_runs(spark):
     for start, end in ((5, 10), (0, 7), (3, 4)):
         index.flush(spark.range(start, end).select("id", F.unhex(F.sha2((F.col("id") % 4).cast("string"), 256)).alias("sha")))
     assert len(index.runs) == 3
+    keys = spark.range(7).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("key"))
+    want = {i: (i if i < 1 else {1: 1, 2: 2, 3: 3}.get(i), 3 if i in (0, 2, 3) else 4 if i == 1 else None) for i in range(7)}
+    assert {r.id: (r.keep_id, r.group_size) for r in index.lookup(keys).collect()} == want
     got = {r.keep_id: r.group_size for r in index.compact().collect()}
     assert got == {0: 3, 1: 4, 2: 3, 3: 3} and len(index.runs) == 1
+    assert {r.id: (r.keep_id, r.group_size) for r in index.lookup(keys).collect()} == want
+    assert index.compact(least=4).count() == 1
+
+
+def test_merging_needs_one_pass_over_sorted_entries():
+    rnd = random.Random(3)
+    entries = sorted((bytes([rnd.randrange(5)]), rnd.randrange(100)) for _ in range(300))
+    batches, at = [], 0
+    while at < len(entries):
+        part = entries[at : at + rnd.randint(0, 40)]
+        at += len(part)
+        batches.append(pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in part], pa.binary()), "id": pa.array([i for _, i in part], pa.int64()), "n": pa.array([1] * len(part), pa.int64())}))
+    got = [r for b in exact_dedup.merged_runs("min")(iter(batches)) for r in b.to_pylist()]
+    want = [{"key": k, "id": min(i for x, i in entries if x == k), "n": sum(x == k for x, _ in entries)} for k in sorted({k for k, _ in entries})]
+    assert got == want
 
 
 def test_drop_copies_keeps_one_of_each(spark):
@@ -169,25 +188,34 @@ def plain_verdict(url, rules):
         host = host.split(stop)[0]
     path = rest[len(host) :].split("?")[0].split("#")[0]
     host = host.translate(brute.LOWER)
-    fits = [(len(h + p), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    rules = [(h.translate(brute.LOWER), p, v) for h, p, v in rules]
+    fits = [(len(h + p), v == "block", len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits) if fits else None
-    return host, path, best and best[2], best[3] if best else "allow"
+    return host, path, best and best[3], best[4] if best else "allow"
 
 
 def test_url_filter(spark):
     urls = [r["url"] for r in pq.read_table(f"{SMALL}/pages.parquet").to_pylist()]
-    urls += [None, "", "no scheme", "http://", "HTTP://Example.COM/en/77?x#y", "http://com/en/", "ftp://x.com?/en/", "http://a.com:80/en/", "://net/de/", "http://xnet/de/", "http://a//b://c.org/es/", "http://org\n/es/"]
-    rules = [*queries.URL_RULES, ("net", "", "block"), ("a.net", "/x", "allow"), ("a.net", "/x", "block")]
+    urls += [None, "", "no scheme", "http://", "HTTP://Example.COM/en/77?x#y", "http://com/en/", "ftp://x.com?/en/", "http://a.com:80/en/", "://net/de/", "http://xnet/de/", "http://a//b://c.org/es/", "http://org\n/es/", "http://ex.com/abcdefgh", "http://ÉX.com/q", "http://Éx.com/q", "http://t.co/a/b/c", "http://u.t.co/a/b/cd"]
+    rules = [*queries.URL_RULES, ("com", "/abcdefgh", "allow"), ("ex.com", "/abcde", "block"), ("ÉX.COM", "/", "block"), ("co", "/a/b/", "allow"), ("t.co", "/a/", "block"), ("t.co", "/a/b/c", "allow"), ("net", "", "block"), ("a.net", "/x", "allow"), ("a.net", "/x", "block")]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, host string")
     want = [(i, *plain_verdict(u, rules)) for i, u in enumerate(urls)]
     got = url_filter.judge_urls(df, rules)
     assert rows_of(got, "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
     table = spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
     joined = url_filter.judge_urls_by_join(df, table)
-    assert rows_of(joined, "page_id", "host", "path", "verdict") == rows_of(got, "page_id", "host", "path", "verdict")
+    assert rows_of(joined, "page_id", "host", "path", "rule", "verdict") == rows_of(got, "page_id", "host", "path", "rule", "verdict")
     assert url_filter.judge_urls(df.where("page_id < 0"), rules).count() == 0
 
 
+def test_many_rules_of_one_host():
+    trie = url_filter.UrlTrie((("big.example", f"/p/{i:07d}", "block" if i % 2 else "allow") for i in range(300_000)))
+    began = time.perf_counter()
+    for i in range(0, 300_000, 30):
+        assert trie.match("www.big.example", f"/p/{i:07d}/x")[1] == ("block" if i % 2 else "allow")
+    assert time.perf_counter() - began < 2 and trie.match("big.example", "/p/x") is None
+
+
 # ---------------------------------------------------------------- token counts
 
 
@@ -265,6 +293,15 @@ def test_bins_take_the_tightest_compatible():
         held[bin_].append(i)
 
 
+def test_identical_rows_are_dealt_out(spark):
+    docs = spark.range(0, 20_000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
+    bins = packing.pack(docs, group_rows=1000).withColumn("part", F.shiftright("bin_id", 32))
+    sizes = [r.n for r in bins.groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 2 * sorted(sizes)[10]
+    slots = sharding.shard_rows(docs, 4).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("k"), F.max("slot").alias("m")).collect()
+    assert [(r.n, r.k, r.m) for r in slots] == [(20_000, 20_000, 19_999)]
+
+
 # ---------------------------------------------------------------- sharding
 
 
