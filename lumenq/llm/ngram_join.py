@@ -5,7 +5,10 @@
 2. Bands of MinHash rows are chosen for a target recall at the threshold. Classes meet by band hash;
    buckets of one are dropped, and of buckets with the same members only the first band's is kept.
 3. The sets of classes that share a bucket are read again and compared in full. A pair is compared in the
-   first band on which it agrees, so once. Large buckets are dealt out in blocks against blocks.
+   first band on which it agrees, so once. In a large bucket each set is first put down as its difference
+   from one member's set, in tasks of a block each; then the differences, which are short among near
+   copies, meet block against block. A bucket of R sets has blocks of some ``4 * sqrt(R)``, so its sets move
+   once, and differences R^1.5 / 4 times.
 4. Each comparison gives link counts and a spanning edge for each class, never a row for each pair; the
    edges are joined to components.
 
@@ -25,21 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_view, drop_shared, filter_table, maybe_in, mix64, shared_table, slices, word_hashes
+from ._common import byte_view, drop_shared, filter_table, frugal, maybe_in, mix64, shared_table, slices, word_hashes
 from .components import components
 
-#: n-grams and rows of a bucket's block; two blocks meet in a task at a time.
+#: n-grams and least rows of a bucket's block; two blocks meet in a task at a time.
 BLOCK_GRAMS, BLOCK_ROWS = 1 << 19, 256
 
 
-def band_plan(threshold: float, recall: float = 0.999, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the most selective banding of at most ``most`` hashes that finds a pair whose
-    similarity is exactly ``threshold`` with probability ``recall``."""
-    best = (1, 1)
-    for rows in range(1, most + 1):
+def band_plan(threshold: float, recall: float = 0.999, hashes: int = 128) -> tuple[int, int]:
+    """(bands, rows): the most selective banding of about ``hashes`` hashes that finds a pair whose similarity
+    is exactly ``threshold`` with probability ``recall``. Bands of one row need as many hashes as they need."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold must be in (0, 1] and recall in (0, 1)")
+    best = None
+    for rows in range(1, hashes + 1):
         hit = threshold**rows
         bands = math.ceil(math.log1p(-recall) / math.log1p(-hit)) if hit < 1 else 1
-        if bands * rows <= most:
+        if best is None or bands * rows <= hashes:
             best = (bands, rows)
     return best
 
@@ -115,7 +120,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     ["id", "h", "node", "grams", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, h long, node binary, grams long, bands array<long>")
+    return docs.mapInArrow(frugal(run), "id long, h long, node binary, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -125,23 +130,33 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 grams, at = ngram_sets(part.column("text"), n)
                 cut = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_digest(x) for x in cut], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], ["node", "body"]
+                    [pa.array([_digest(x) for x in cut], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], ["set", "body"]
                 )
 
-    return docs.select("text").mapInArrow(run, "node binary, body binary")
+    return docs.select("text").mapInArrow(frugal(run), "set binary, body binary")
 
 
-def compare(band: int, cross: bool, side: np.ndarray, nodes: list, weight: np.ndarray, bands: np.ndarray, sets: list, threshold: float):
+def compare(
+    band: int, cross: bool, side: np.ndarray, nodes: np.ndarray, weight: np.ndarray, bands: np.ndarray, sets: list, threshold: float,
+    size: np.ndarray | None = None, base: np.ndarray | None = None,
+) -> list[tuple[int, int, int]]:
     """Links of one bucket's rows: (node, smallest node of its local component, weight of its links).
 
     Pairs that agree in an earlier band are left to that band; if ``cross``, only pairs of the two sides
     count. ``intersection >= t/(1+t) * (|a|+|b|)`` is the Jaccard test without division.
+
+    ``sets`` are whole sets, or differences from one set P: then ``size`` has the whole sets' sizes and
+    ``base`` is |P| / 2 less what a set lacks of P. As a difference holds what is lacking and what is more,
+    ``|a & b| = base[a] + base[b] + |difference of a & difference of b|``.
     """
     n = len(nodes)
-    size = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
-    at = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(int(ids.max()) + 1, np.int32)
+    own = np.array([len(s) for s in sets])
+    size = own if size is None else size
+    base = np.zeros(n) if base is None else base
+    every = np.concatenate(sets)
+    ids = np.unique(every, return_inverse=True)[1].ravel()
+    at = np.concatenate([[0], np.cumsum(own)])
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
     links = np.zeros(n, np.int64)
     root = np.arange(n)
     for a in range(n - 1):
@@ -156,11 +171,12 @@ def compare(band: int, cross: bool, side: np.ndarray, nodes: list, weight: np.nd
             continue
         mark[ids[at[a] : at[a + 1]]] = 1
         if 2 * len(others) > n - a:
-            tail = mark[ids[at[a + 1] :]]
-            common = np.add.reduceat(tail, at[a + 1 : n] - at[a + 1])[others - a - 1]
+            total = np.concatenate([[0], np.cumsum(mark[ids[at[a + 1] :]])])
+            common = total[at[others + 1] - at[a + 1]] - total[at[others] - at[a + 1]]
         else:
             common = np.array([int(mark[ids[at[b] : at[b + 1]]].sum()) for b in others])
         mark[ids[at[a] : at[a + 1]]] = 0
+        common = common + base[a] + base[others]
         linked = others[common * (1 + threshold) >= threshold * (size[a] + size[others]) - 1e-9]
         if len(linked):
             links[a] += weight[linked].sum()
@@ -168,61 +184,82 @@ def compare(band: int, cross: bool, side: np.ndarray, nodes: list, weight: np.nd
             joined = np.unique(root[np.append(linked, a)])
             root[np.isin(root, joined)] = joined[0]
     hit = np.flatnonzero(links)
-    least: dict[int, bytes] = {}
+    least: dict[int, int] = {}
     for i in hit:
         r = int(root[i])
-        least[r] = min(least.get(r, nodes[i]), nodes[i])
-    return [(nodes[i], least[int(root[i])], int(links[i])) for i in hit]
+        least[r] = min(least.get(r, int(nodes[i])), int(nodes[i]))
+    return [(int(nodes[i]), least[int(root[i])], int(links[i])) for i in hit]
+
+
+def _key_runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """The rows of each key, for input that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in key])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if a == b:
+                continue
+            this = tuple(int(x) for x in keys[:, a])
+            if this != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = this
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+#: A bucket's rows, whole sets or differences from its pivot.
+MEMBER = "band int, value long, block int, node long, weight long, bands array<long>, size long, base double, body binary"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block of a large bucket, led by the pivot, as differences from the pivot's set."""
+    for _, t in _key_runs(batches, ["band", "value", "block"]):
+        t = t.combine_chunks()
+        pivot_at = int(np.flatnonzero(t.column("pivot").to_numpy())[0])
+        pivot = np.frombuffer(t.column("body")[pivot_at].as_py(), np.uint64)
+        rows = np.flatnonzero(~t.column("pivot").to_numpy())
+        size, base, body = [], [], []
+        for i in rows.tolist():
+            own = np.frombuffer(t.column("body")[i].as_py(), np.uint64)
+            different = np.setxor1d(own, pivot, assume_unique=True)
+            lacks = (len(different) - len(own) + len(pivot)) // 2
+            size.append(len(own))
+            base.append(len(pivot) / 2 - lacks)
+            body.append(different.tobytes())
+        take = pa.array(rows)
+        columns = {k: t.column(k).take(take) for k in ("band", "value", "block", "node", "weight", "bands")}
+        columns |= {"size": pa.array(size, pa.int64()), "base": pa.array(base, pa.float64()), "body": pa.array(body, pa.binary())}
+        yield from pa.Table.from_pydict(columns).to_batches(max_chunksize=2_000)
 
 
 def _compare_runs(threshold: float):
-    key = ["band", "value", "i", "j"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
         out: list[tuple] = []
 
-        def close() -> None:
-            t = pa.Table.from_batches(held)
-            if len(t) < 2:
-                return
-            bands = t.column("bands").combine_chunks()
-            width = len(bands.values) // len(bands) if not isinstance(bands, pa.ChunkedArray) else 0
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
-            out.extend(
-                compare(
-                    now[0], now[2] != now[3], t.column("block").to_numpy(), t.column("node").to_pylist(), t.column("weight").to_numpy(),
-                    bands.flatten().to_numpy().reshape(len(t), width), sets, threshold,
-                )
-            )
-
         def emit() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["node", "root", "links"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "root", "links"])
 
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in key])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                if a == b:
-                    continue
-                this = tuple(int(x) for x in keys[:, a])
-                if this != now and held:
-                    close()
-                    held.clear()
-                now = this
-                held.append(batch.slice(a, b - a))
+        for (band, _, i, j), t in _key_runs(batches, ["band", "value", "i", "j"]):
+            if len(t) < 2:
+                continue
+            t = t.combine_chunks()
+            bands = pa.concat_arrays(t.column("bands").chunks)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
+            out += compare(
+                band, i != j, t.column("block").to_numpy(), t.column("node").to_numpy(), t.column("weight").to_numpy(),
+                bands.flatten().to_numpy().reshape(len(t), -1), sets, threshold, t.column("size").to_numpy(), t.column("base").to_numpy(),
+            )
             if len(out) >= 10_000:
                 yield emit()
                 out.clear()
-        if held:
-            close()
         yield emit()
 
-    return run
+    return frugal(run)
 
 
 def similar_rows(
@@ -241,46 +278,63 @@ def similar_rows(
     classes = sig.where("grams > 0").groupBy("node").agg(
         first, F.count("*").alias("weight"), F.any_value("grams").alias("grams"), F.any_value("bands").alias("bands")
     )
-    classes = shared_table(classes, "join-classes")
+    # From here on a class is known by a number, which is written with it.
+    classes = shared_table(classes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
     entries = classes.select("node", "grams", F.posexplode("bands").alias("band", "value"))
     buckets = (
         entries.groupBy("band", "value")
         .agg(F.count("*").alias("rows"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.sum("grams").alias("grams"))
         .where("rows > 1")
-        .groupBy("rows", "least", "sum", "grams")
-        .agg(F.min(F.struct("band", "value")).alias("b"))
-        .select("b.band", "b.value", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     )
-    buckets = shared_table(buckets, "join-buckets")
+    # Of buckets with the same members the first band's stays.
+    buckets = buckets.groupBy("rows", "least", "sum", "grams").agg(F.min("band").alias("band"), F.min_by("value", "band").alias("value"))
+    side = F.greatest(F.lit(float(BLOCK_ROWS)), 4 * F.sqrt("rows"))
+    blocks = F.greatest(F.ceil(F.col("rows") / side), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    buckets = shared_table(buckets.select("band", "value", F.col("least").alias("pivot"), blocks.alias("blocks")), "join-buckets")
     entries = maybe_in(entries.drop("grams"), ["band", "value"], filter_table(buckets.select("band", "value")), "__b").where("__b").drop("__b")
     members = shared_table(entries.join(buckets, ["band", "value"]), "join-members")
 
-    wanted = members.select("node").distinct().join(classes, "node").select("node", "first.id", "first.h", "weight", "bands")
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "digest", "first.id", "first.h", "weight", "bands")
     wanted = shared_table(wanted, "join-wanted")
     some = maybe_in(base, ["id", "h"], filter_table(wanted.select("id", "h")), "__w").where("__w")
-    sets = _sets(some, n).join(wanted, "node").groupBy("node").agg(
+    sets = _sets(some, n).join(wanted.withColumnRenamed("digest", "set"), "set").groupBy("node").agg(
         F.any_value("body").alias("body"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")
     )
+    sets = shared_table(sets, "join-sets")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = dealt.select("band", "value", "i", "j", "block", "node").join(sets, "node")
+    dealt = members.withColumn("block", block)
+    held = ["band", "value", "block", "node", "weight", "bands"]
+    met = dealt.join(sets, "node")
+    small = met.where("blocks = 1").select(*held, (F.length("body") / 8).cast("long").alias("size"), F.lit(0.0).alias("base"), "body")
+    large = members.where("blocks > 1")
+    count = buckets.where("blocks > 1").select("band", "value", F.col("blocks").alias("count"))
+    compared = small
+    if not large.isEmpty():
+        # One copy of the pivot's set for each block of its bucket, and each member's set once.
+        pivots = buckets.where("blocks > 1").join(sets, F.col("pivot") == F.col("node")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows_ = met.where("blocks > 1").select(*held, "body", F.lit(False).alias("pivot"))
+        rows_ = rows_.unionByName(pivots.select(*held, "body", F.lit(True).alias("pivot")))
+        at = ["band", "value", "block"]
+        differences = shared_table(rows_.repartition(*at).sortWithinPartitions(*at).mapInArrow(frugal(_differences), MEMBER), "join-differences")
+        compared = compared.unionByName(differences)
+    compared = compared.join(count, ["band", "value"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("count", F.lit(1)) - 1)))
+    compared = compared.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "count")
     key = ["band", "value", "i", "j"]
-    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare_runs(threshold), "node binary, root binary, links long")
+    found = compared.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare_runs(threshold), "node long, root long, links long")
     found = shared_table(found, "join-links")
-    drop_shared(members, wanted, buckets)
+    drop_shared(members, wanted, buckets, sets)
 
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = classes.select("node", "first", "weight").join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left")
+    classes = classes.select("node", "digest", "first", "weight").join(labels.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left")
     classes = classes.join(links, "node", "left").select(
-        "node", "first", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")
+        "digest", "first", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")
     )
     classes = shared_table(classes, "join-labels")
     whole = classes.groupBy("label").agg(F.min("first").alias("first"), F.sum("weight").alias("class_size"))
-    per = classes.select("node", "label", "weight", "links").join(whole, "label").select("node", "first", "class_size", (F.col("links") + F.col("weight") - 1).alias("links"))
-    out = sig.select("id", "h", F.when(F.col("grams") > 0, F.col("node")).alias("node")).join(per, "node", "left")
+    per = classes.select("digest", "label", "weight", "links").join(whole, "label").select("digest", "first", "class_size", (F.col("links") + F.col("weight") - 1).alias("links"))
+    out = sig.select("id", "h", F.when(F.col("grams") > 0, F.col("node")).alias("digest")).join(per, "digest", "left")
     alone = F.col("first").isNull()
     return out.select(
         "id", "h",
