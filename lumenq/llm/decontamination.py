@@ -2,16 +2,20 @@
 
 Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. A test suffix starts at every
 word of a benchmark item from which a whole window follows: ``window`` words, or all words of an item
-that has fewer. Each task cuts its documents into shards, orders the shard's word suffixes (to window
-depth; suffixes that cannot begin a window because their first words never occur together in the
-benchmark are left out), and finds each test suffix by two binary searches. Occurrences that continue
+that has fewer. Each task cuts its documents into shards, orders the shard's word suffixes to window
+depth, and finds each test suffix by two binary searches. Suffixes whose first words (up to four) never
+occur together in the benchmark are left out of the array: every test suffix starts with such words, so
+none can match there. The words of what is found are compared byte by byte. Occurrences that continue
 each other in document and item are joined to the longest verbatim match and its place.
 
-No shuffle: the documents are read once, and the benchmark goes to every task while its text is at most
-``BLOCK_BYTES``. A larger benchmark is searched in blocks of that size whose hits are merged by document.
+No shuffle: the documents are read once. The benchmark goes to the tasks in blocks of about ``BLOCK_BYTES``
+of text, which the driver reads and sends one after the other; a task searches its shards block by block,
+holding one of them, and merges the hits of a document in place. Neither side ever holds the benchmark. An
+item is not divided.
 
 Defined cases: a null text has no words; an item without words has no window; empty tables give zero
-hits or no rows; repeated rows are judged alike; other columns pass through ``decontaminate`` untouched.
+hits or no rows; repeated rows are judged alike; of equally long matches the first in the document, then of
+the smallest item, is named; other columns pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
@@ -20,20 +24,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_view, slices, word_hashes
+from ._common import LOWER, byte_view, frugal, slices, word_hashes
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words on.
 SHARE = 1 / 20
-#: Bytes of benchmark text that are sent to all tasks at once.
-BLOCK_BYTES = 32_000_000
-#: Bytes of training text in a shard.
-SHARD_BYTES = 1 << 22
+#: Bytes of benchmark text in a block; built, it takes some 25 times as much.
+BLOCK_BYTES = 2_000_000
+#: Bytes of training text in a shard, and shards that a task holds while it goes through several blocks.
+SHARD_BYTES, HELD_SHARDS = 1 << 22, 4
 
 _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -75,49 +79,66 @@ class TestSuffixes:
         self.window = window
         self.item_ids = [i for i, _ in items]
         buf, offs = byte_view(pa.array([t for _, t in items], pa.string()))
-        h, _, _, at = word_hashes(buf, offs)
+        h, start, end, at = word_hashes(buf, offs)
         self.vocabulary = _Set(h)
         _, ids = self.vocabulary.places(h)
-        ids = ids.astype(np.uint32) + np.uint32(1)
-        rows, lengths, item, place = [], [], [], []
-        for k in range(len(items)):
-            w = ids[at[k] : at[k + 1]]
-            if not len(w):
-                continue
-            size = min(window, len(w))
-            cut = np.lib.stride_tricks.sliding_window_view(w, size)
-            full = np.zeros((len(cut), window), np.uint32)
-            full[:, :size] = cut
-            rows.append(full)
-            lengths.append(np.full(len(cut), size))
-            item.append(np.full(len(cut), k))
-            place.append(np.arange(len(cut)))
-        self.empty = not rows
+        # The bytes of each word of the vocabulary, for comparison.
+        some = np.unique(h, return_index=True)[1]
+        low = LOWER[buf]
+        self.word_bytes = np.concatenate([low[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)] or [low[:0]])
+        self.word_at = np.concatenate([[0], np.cumsum(end[some] - start[some])])
+        self.ids = np.concatenate([ids.astype(np.uint32) + np.uint32(1), np.zeros(window, np.uint32)])
+        sizes = np.minimum(np.diff(at), window)
+        many = np.where(sizes > 0, np.diff(at) - sizes + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first = at[item] + place
+        self.empty = not len(first)
         if self.empty:
             return
-        every, length = np.concatenate(rows), np.concatenate(lengths)
-        self.windows, first, inverse = np.unique(every, axis=0, return_index=True, return_inverse=True)
-        self.length = length[first]
+        every = self._windows(first, sizes[item])
+        _, lead, inverse = np.unique(self._keys(every), return_index=True, return_inverse=True)
         order = np.argsort(inverse.ravel(), kind="stable")
-        self.owner = np.concatenate(item)[order]
-        self.place = np.concatenate(place)[order]
-        self.owned = np.searchsorted(inverse.ravel()[order], np.arange(len(self.windows) + 1))
+        self.first, self.length = first[lead].astype(np.uint32), sizes[item][lead].astype(np.uint8 if window < 256 else np.int64)
+        self.owner, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
+        self.owned = np.searchsorted(inverse.ravel()[order], np.arange(len(lead) + 1)).astype(np.int32)
         self.gram = min(4, int(self.length.min()))
-        self.grams = _Set(np.concatenate([_grams(h[at[k] : at[k + 1]], self.gram) for k in range(len(items))]))
-        high = self.windows.copy()
-        high[np.arange(window)[None, :] >= self.length[:, None]] = np.iinfo(np.uint32).max
-        self.low_keys, self.high_keys = self._keys(self.windows), self._keys(high)
+        # Only grams that start a test suffix can start an occurrence of one.
+        self.grams = _Set(_grams(np.concatenate([h, np.zeros(4, np.uint64)]), self.gram)[np.unique(first)])
+        self._build()
+
+    def _windows(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        steps = np.arange(self.window)[None, :]
+        rows = self.ids[first.astype(np.int64)[:, None] + steps]
+        rows[steps >= np.asarray(length)[:, None]] = 0
+        return rows
+
+    def _build(self) -> None:
+        rows = self._windows(self.first, self.length)
+        self.low_keys = self._keys(rows)
+        rows[np.arange(self.window)[None, :] >= self.length[:, None]] = np.iinfo(np.uint32).max
+        self.high_keys = self._keys(rows)
+
+    def __getstate__(self) -> dict:
+        """Keys are built again where they are used; they are most of the bytes."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("low_keys", "high_keys")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if not self.empty:
+            self._build()
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         """Big-endian words as byte strings: their order is the order of the word sequences."""
         return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.window}").ravel()
 
-    def search(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word position, window) of every occurrence in a shard of word hashes with text offsets."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
+    def search(self, h: np.ndarray, at: np.ndarray, every_suffix: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word position, window) of every occurrence in a shard of word hashes with text offsets, and the
+        shard's words as places in the vocabulary from 1 (0: none). ``every_suffix`` leaves none out of the array."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
         if self.empty or not len(h):
             return none
-        start, _ = self.grams.places(_grams(h, self.gram))
+        start = np.arange(len(h)) if every_suffix else self.grams.places(_grams(h, self.gram))[0]
         end = at[np.searchsorted(at, start, side="right")]
         start, end = start[start + self.gram <= end], end[start + self.gram <= end]
         if not len(start):
@@ -137,32 +158,43 @@ class TestSuffixes:
         count = (hi - lo)[found]
         which = np.repeat(found, count)
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return start[suffixes[lo[which] + inside]], which
-
-    def annotate(self, texts: pa.Array) -> dict[str, list | np.ndarray]:
-        """Per text: n_words, n_hit, items, hit spans, and the longest match with its places."""
-        n = len(texts)
-        buf, offs = byte_view(texts)
-        h, _, _, at = word_hashes(buf, offs)
-        out = {
-            "n_words": np.diff(at), "n_hit": np.zeros(n, np.int64), "items": [()] * n, "spans": [()] * n,
-            "longest": np.zeros(n, np.int64), "item": [None] * n, "start": np.full(n, -1), "item_start": np.full(n, -1),
-        }
-        pos, which = self.search(h, at)
+        return start[suffixes[lo[which] + inside]], which, ids
+
+    def verified(self, shard: Shard, pos: np.ndarray, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences all of whose words have the bytes of the benchmark's words."""
+        size = self.length[which].astype(np.int64)
+        words = np.flatnonzero(_covered(pos, size, len(shard.h)))
+        word = ids[words].astype(np.int64) - 1
+        length = shard.end[words] - shard.start[words]
+        wrong = length != self.word_at[word + 1] - self.word_at[word]
+        same = np.flatnonzero(~wrong)
+        owner = np.repeat(same, length[same])
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(length[same]) - length[same], length[same])
+        differs = LOWER[shard.buf[shard.start[words[owner]] + inside]] != self.word_bytes[self.word_at[word[owner]] + inside]
+        wrong[owner[differs]] = True
+        if not wrong.any():
+            return pos, which
+        bad = np.zeros(len(shard.h) + 1, np.int64)
+        bad[words[wrong] + 1] = 1
+        bad = np.cumsum(bad)
+        good = bad[pos + size] == bad[pos]
+        return pos[good], which[good]
+
+    def mark(self, shard: Shard) -> None:
+        """Add this block's hits to a shard: hit words, items, and longest matches."""
+        pos, which, ids = self.search(shard.h, shard.at)
+        if len(pos):
+            pos, which = self.verified(shard, pos, which, ids)
         if not len(pos):
-            return out
-        size = self.length[which]
-        depth = np.zeros(len(h) + 1, np.int64)
-        np.add.at(depth, pos, 1)
-        np.add.at(depth, pos + size, -1)
-        hit = np.cumsum(depth[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(hit)])
-        out["n_hit"] = total[at[1:]] - total[at[:-1]]
+            return
+        at = shard.at
+        size = self.length[which].astype(np.int64)
+        shard.hit |= _covered(pos, size, len(shard.h))
         doc = np.searchsorted(at, pos, side="right") - 1
         # Every occurrence with every place its window has in the benchmark, along diagonals.
-        owners = np.diff(self.owned)[which]
-        k = np.repeat(self.owned[which], owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)
-        item, place = self.owner[k], self.place[k]
+        owners = np.diff(self.owned)[which].astype(np.int64)
+        k = np.repeat(self.owned[which].astype(np.int64), owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)
+        item, place = self.owner[k].astype(np.int64), self.place[k].astype(np.int64)
         pos, doc, size = np.repeat(pos, owners), np.repeat(doc, owners), np.repeat(size, owners)
         order = np.lexsort((pos, pos - place, item, doc))
         pos, doc, size, item, place = pos[order], doc[order], size[order], item[order], place[order]
@@ -172,31 +204,93 @@ class TestSuffixes:
         run = np.diff(np.append(first, len(pos))) - 1 + size[first]
         best = np.lexsort((item[first], pos[first], -run, doc[first]))
         of, lead = np.unique(doc[first][best], return_index=True)
-        for d, b in zip(of, best[lead], strict=True):
-            f = first[b]
-            out["longest"][d], out["item"][d] = run[b], self.item_ids[item[f]]
-            out["start"][d], out["item_start"][d] = pos[f] - at[d], place[f]
         pair = np.unique(np.stack([doc, item]), axis=1)
-        cut = np.searchsorted(pair[0], np.append(of, n))
-        for d, a, b in zip(of, cut[:-1], cut[1:], strict=True):
-            out["items"][d] = tuple(sorted({self.item_ids[x] for x in pair[1][a:b]}))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[at[d] : at[d + 1]].view(np.int8), [0]])))
-            out["spans"][d] = tuple(edge.tolist())
-        return out
+        cut = np.searchsorted(pair[0], np.append(of, shard.n))
+        for d, b, x, y in zip(of.tolist(), best[lead].tolist(), cut[:-1], cut[1:], strict=True):
+            f = first[b]
+            match = (-int(run[b]), int(pos[f] - at[d]), self.item_ids[item[f]], int(place[f]))
+            shard.match[d] = min(shard.match.get(d, match), match)
+            shard.items.setdefault(d, set()).update(self.item_ids[i] for i in pair[1][x:y])
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str | None]]]:
-    """The benchmark's items, in blocks of at most about BLOCK_BYTES of text."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length(items.columns[1])), F.lit(0))).first()[0]
-    return items, max(1, -(-size // BLOCK_BYTES))
+def _covered(pos: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, pos, 1)
+    np.add.at(depth, pos + size, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+class Shard:
+    """The words of some texts, and what the blocks of a benchmark have found in them so far."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.buf, offs = byte_view(texts)
+        self.h, self.start, self.end, self.at = word_hashes(self.buf, offs)
+        self.n = len(texts)
+        self.hit = np.zeros(len(self.h), bool)
+        self.items: dict[int, set[str]] = {}
+        self.match: dict[int, tuple[int, int, str, int]] = {}
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n_words, n_hit) of each text."""
+        total = np.concatenate([[0], np.cumsum(self.hit)])
+        return np.diff(self.at), total[self.at[1:]] - total[self.at[:-1]]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    items, n = _items(benchmark, id_col, text_col)
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64(*items.columns), F.lit(n)) == k)
-        yield sorted(((r[0], r[1]) for r in block.collect()), key=lambda r: (r[0], r[1] or ""))
+    """The benchmark's items in blocks of about BLOCK_BYTES of text, partition after partition; at least one block."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string"))
+    order = lambda r: (r[0], r[1] or "")
+    block: list[tuple[str, str | None]] = []
+    size = n = 0
+    for item, text in items.toLocalIterator():
+        length = len((text or "").encode())
+        if block and size + length > BLOCK_BYTES:
+            yield sorted(block, key=order)
+            block, size, n = [], 0, n + 1
+        block.append((item, text))
+        size += length
+    if block or not n:
+        yield sorted(block, key=order)
+
+
+def _sent(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[Broadcast]:
+    """A broadcast for each block. What is sent lies on disk; the driver builds one block at a time."""
+    sent = []
+    for block in _blocks(benchmark, id_col, text_col):
+        shared = benchmark.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
+        _let_go(shared)
+        sent.append(shared)
+    return sent
+
+
+def _let_go(shared: Broadcast) -> None:
+    """Drop the copy that a broadcast holds in this process; its file stays, and is read when it is asked again."""
+    shared.__dict__.pop("_value", None)
+
+
+def _judged(batches: Iterator[pa.RecordBatch], column: int, sent: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, Shard]]:
+    """Pieces of the batches, each with the shard of its texts after all blocks."""
+    held: list[tuple[pa.RecordBatch, Shard]] = []
+
+    def through() -> Iterator[tuple[pa.RecordBatch, Shard]]:
+        for shared in sent:
+            suffixes = shared.value
+            for _, shard in held:
+                suffixes.mark(shard)
+            if len(sent) > 1:
+                del suffixes
+                _let_go(shared)
+        yield from held
+        held.clear()
+
+    for batch in batches:
+        for part in slices(batch, batch.schema.names[column], SHARD_BYTES):
+            held.append((part, Shard(part.column(column).cast(pa.string()))))
+            if len(held) >= (HELD_SHARDS if len(sent) > 1 else 1):
+                yield from through()
+    if held:
+        yield from through()
 
 
 def contaminated(n_words: np.ndarray, n_hit: np.ndarray, share: float = SHARE) -> np.ndarray:
@@ -223,103 +317,38 @@ def find_contamination(
     window: int = WINDOW,
 ) -> DataFrame:
     """One row per row of ``docs``: (id_col, *RESULT)."""
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = base.schema[0].dataType.simpleString()
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    if len(blocks) > 1:
-        return _by_blocks(base, blocks, id_col, kind, window)
-    shared = spark.sparkContext.broadcast(TestSuffixes(blocks[0], window))
+    sent = _sent(benchmark, item_col, item_text_col, window)
+    none = (0, -1, None, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SHARD_BYTES):
-                a = shared.value.annotate(part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(a["n_words"], pa.int64()), pa.array(a["n_hit"], pa.int64()),
-                        pa.array([len(i) for i in a["items"]], pa.int64()), pa.array([_digest(i) for i in a["items"]]),
-                        pa.array(contaminated(a["n_words"], a["n_hit"])), pa.array(a["longest"], pa.int64()),
-                        pa.array(a["item"], pa.string()), pa.array(a["start"], pa.int64()), pa.array(a["item_start"], pa.int64()),
-                    ],
-                    names=[id_col, *(c.split()[0] for c in RESULT.split(", "))],
-                )
-
-    return base.mapInArrow(run, f"`{id_col}` {kind}, {RESULT}")
-
-
-def _by_blocks(base: DataFrame, blocks: list, id_col: str, kind: str, window: int) -> DataFrame:
-    """One pass for each block of the benchmark; a document's hits of all blocks meet by its key."""
-    base = base.withColumn("key", F.xxhash64("text"))
-    part_schema = f"`{id_col}` {kind}, key long, n_words long, spans array<long>, items array<string>, longest_match long, match_item string, match_start long, match_item_start long"
-
-    def one(items: list) -> DataFrame:
-        shared = base.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", SHARD_BYTES):
-                    a = shared.value.annotate(part.column("text"))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0), part.column("key"), pa.array(a["n_words"], pa.int64()),
-                            pa.array(a["spans"], pa.list_(pa.int64())), pa.array(a["items"], pa.list_(pa.string())),
-                            pa.array(a["longest"], pa.int64()), pa.array(a["item"], pa.string()),
-                            pa.array(a["start"], pa.int64()), pa.array(a["item_start"], pa.int64()),
-                        ],
-                        names=[c.split()[0].strip("`") for c in part_schema.split(", ")],
-                    )
-
-        return base.select(id_col, "text", "key").mapInArrow(run, part_schema)
-
-    hits = one(blocks[0])
-    for items in blocks[1:]:
-        hits = hits.unionByName(one(items))
-    best = F.max_by(F.struct("longest_match", "match_item", "match_start", "match_item_start"), F.struct("longest_match", -F.col("match_start")))
-    merged = hits.groupBy(id_col, "key").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), best.alias("best"),
-    )
-
-    @F.pandas_udf("long")
-    def covered(spans: pd.Series) -> pd.Series:
-        def length(x: np.ndarray) -> int:
-            end = total = 0
-            for a, b in sorted(zip(x[::2], x[1::2], strict=True)):
-                total += max(0, b - max(a, end))
-                end = max(end, b)
-            return total
-
-        return spans.map(length)
-
-    merged = merged.withColumn("n_hit", covered("spans")).select(
-        F.col(id_col).alias("__id"), F.col("key").alias("__key"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / SHARE) >= F.col("n_words"))).alias("contaminated"), "best.*",
-    )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
-    return base.select(id_col, "key").join(merged, same).select(id_col, *(c.split()[0] for c in RESULT.split(", ")))
+        for part, shard in _judged(batches, 1, sent):
+            n_words, n_hit = shard.counts()
+            items = [tuple(sorted(shard.items.get(d, ()))) for d in range(shard.n)]
+            longest, start, item, place = zip(*(shard.match.get(d, none) for d in range(shard.n)), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                    pa.array([len(i) for i in items], pa.int64()), pa.array([_digest(i) for i in items]),
+                    pa.array(contaminated(n_words, n_hit)), pa.array([-x for x in longest], pa.int64()),
+                    pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(place, pa.int64()),
+                ],
+                names=[id_col, *(c.split()[0] for c in RESULT.split(", "))],
+            )
+
+    return base.mapInArrow(frugal(run), f"`{id_col}` {kind}, {RESULT}")
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns and without a shuffle."""
-    spark = docs.sparkSession
-    out = docs
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    if len(blocks) > 1:
-        keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-        judged = _by_blocks(keyed.select(F.col("__key").alias("id"), F.col(text_col).alias("text")), blocks, "id", "bigint", window)
-        bad = judged.where("contaminated").select(F.col("id").alias("__key")).distinct()
-        return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
-    shared = spark.sparkContext.broadcast(TestSuffixes(blocks[0], window))
+    sent = _sent(benchmark, item_col, item_text_col, window)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at], SHARD_BYTES):
-                a = shared.value.annotate(part.column(at).cast(pa.string()))
-                yield part.filter(pa.array(~contaminated(a["n_words"], a["n_hit"])))
+        for part, shard in _judged(batches, at, sent):
+            yield part.filter(pa.array(~contaminated(*shard.counts())))
 
-    return out.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import time
 import zlib
@@ -163,6 +164,46 @@ def test_contamination(spark, monkeypatch, block_bytes):
     assert sorted(map(repr, rows_of(left, "doc_id"))) == sorted(repr((w[0],)) for w in want if not w[5])
 
 
+def test_no_suffix_that_could_match_is_left_out():
+    """The array without the suffixes that the first words rule out finds what the whole array finds."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        line = lambda n: " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, n)))
+        suffixes = decontamination.TestSuffixes([(str(i), line(12)) for i in range(rnd.randint(0, 6))], rnd.randint(1, 6))
+        shard = decontamination.Shard(pa.array([line(40) for _ in range(4)], pa.string()))
+        some, every = (sorted(zip(*(x.tolist() for x in suffixes.search(shard.h, shard.at, e)[:2]), strict=True)) for e in (False, True))
+        assert some == every
+
+
+def test_words_are_compared_by_their_bytes(monkeypatch):
+    """With a hash that is the word's length, only the bytes tell words apart."""
+    plain = decontamination.word_hashes
+
+    def short(buf, offs):
+        _, start, end, at = plain(buf, offs)
+        return (end - start).astype(np.uint64), start, end, at
+
+    monkeypatch.setattr(decontamination, "word_hashes", short)
+    suffixes = decontamination.TestSuffixes([("7", "ab abc abcd")], 3)
+    shard = decontamination.Shard(pa.array(["x ab abc abcd y", "ab xbc abcd", "AB Abc abcD"], pa.string()))
+    assert len(suffixes.search(shard.h, shard.at)[0]) == 3
+    suffixes.mark(shard)
+    assert shard.counts()[1].tolist() == [3, 0, 3] and set(shard.items) == {0, 2}
+
+
+def test_a_large_benchmark_is_held_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200_000)
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    bench = [(i, " ".join(rnd.choice(words) for _ in range(400))) for i in range(500)]
+    docs = [(i, bench[i][1][50:900] + " and " + " ".join(rnd.choice(words) for _ in range(50))) for i in range(0, 500, 25)]
+    sent = decontamination._sent(spark.createDataFrame(bench, "item_id long, text string"), "item_id", "text", 13)
+    assert 7 <= len(sent) <= 9 and not any("_value" in s.__dict__ for s in sent)
+    assert max(len(pickle.dumps(s.value)) for s in sent) < 20 * 200_000 + (4 << 20)
+    got = decontamination.find_contamination(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
+    assert rows_of(got, *RESULT) == sorted(brute.contamination(docs, bench), key=repr)
+
+
 def test_longest_match_and_place(spark):
     item = " ".join(f"w{i}" for i in range(40))
     text = "a b c " + " ".join(f"w{i}" for i in range(5, 30)) + " d " + " ".join(f"W{i}" for i in range(14))
