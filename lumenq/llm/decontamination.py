@@ -15,7 +15,7 @@ item is not divided.
 
 Defined cases: a null text has no words; an item without words has no window; empty tables give zero
 hits or no rows; repeated rows are judged alike; of equally long matches the first in the document, then of
-the smallest item, is named; other columns pass through ``decontaminate`` untouched.
+the smallest item and the first in it, is named; other columns pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ class TestSuffixes:
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((pos - place)[1:] != (pos - place)[:-1]) | (pos[1:] != pos[:-1] + 1)
         first = np.flatnonzero(new)
         run = np.diff(np.append(first, len(pos))) - 1 + size[first]
-        best = np.lexsort((item[first], pos[first], -run, doc[first]))
+        best = np.lexsort((place[first], item[first], pos[first], -run, doc[first]))
         of, lead = np.unique(doc[first][best], return_index=True)
         pair = np.unique(np.stack([doc, item]), axis=1)
         cut = np.searchsorted(pair[0], np.append(of, shard.n))

@@ -77,7 +77,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: A-Z to a-z, then words, in DuckDB.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op2_decontamination": f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+starts AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS place FROM items WHERE len(w) > 0),
+windows AS (SELECT item, place, n, array_to_string(w[place:place + n - 1], ' ') AS g FROM starts),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+spots AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+occurs AS (SELECT a.r, a.k, a.n, b.item, b.place FROM (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM spots) a JOIN windows b USING (g, n)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM occurs)) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occurs) GROUP BY r),
+chained AS (SELECT *, k - row_number() OVER (PARTITION BY r, item, k - place ORDER BY k) AS chain FROM occurs),
+runs AS (SELECT r, item, min(k) - 1 AS start, min(place) - 1 AS item_start, count(*) - 1 + min(n) AS run FROM chained GROUP BY r, item, k - place, chain),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY run DESC, start, item, item_start) AS q FROM runs) WHERE q = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(run, 0) AS BIGINT) AS longest_match, item AS match_item,
+  CAST(coalesce(start, -1) AS BIGINT) AS match_start, CAST(coalesce(item_start, -1) AS BIGINT) AS match_item_start
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r) LEFT JOIN best USING (r)
+""",
     "op3_url_filter": """
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
   ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter, defaultdict
@@ -124,3 +125,28 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
         mid = (lo + hi) // 2
         lo, hi = (lo, mid) if fits(mid) else (mid + 1, hi)
     return lo
+
+
+def toxicity_features(text: str, odds, insults, second, near: int) -> list[float]:
+    """The 16 features of one text; ``odds`` gives a lower-case word's log-odds, or 0."""
+    data = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data)]
+    own = [data[a:b] for a, b in spans]
+    low = [w.decode().translate(LOWER) for w in own]
+    n, size = max(1, len(low)), max(1, len(data))
+    found = [odds(w) for w in low]
+    bad = [o > 0 or w in insults for o, w in zip(found, low, strict=True)]
+    close = [any(low[j] in second for j in range(max(0, i - near), min(len(low), i + near + 1))) for i in range(len(low))]
+    both = sum(b and c for b, c in zip(bad, close, strict=True))
+    letter = [bytes([c]).isalpha() or c >= 128 for c in data]
+    sign = [not (bytes([c]).isalnum() or c >= 128) and c > 32 for c in data]
+    masked = sum(sign[i] and letter[i - 1] and letter[i + 1] for i in range(1, len(data) - 1))
+    three = sum(letter[i] and data[i] == data[i - 1] == data[i - 2] for i in range(2, len(data)))
+    mixed = sum(0 < sum(bytes([c]).isdigit() for c in w) < len(w) for w in own)
+    shout = sum(len(w) >= 2 and all(65 <= c <= 90 for c in w) for w in own)
+    hits = sum(o > 0 for o in found)
+    return [
+        math.log1p(hits), hits / n, max(found, default=0), sum(found) / n, len({w for w, b in zip(low, bad, strict=True) if b}), sum(w in insults for w in low) / n,
+        math.log1p(both), both / max(1, sum(bad)), sum(w in second for w in low) / n, sum(65 <= c <= 90 for c in data) / size, shout / n, data.count(b"!") / size,
+        sum(sign) / size, mixed / n + masked / n, three / size, math.log1p(len(low)),
+    ]

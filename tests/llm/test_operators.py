@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -211,6 +212,18 @@ def test_longest_match_and_place(spark):
     assert (got.longest_match, got.match_item, got.match_start, got.match_item_start, got.n_hit) == (25, "7", 3, 5, 39)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    cursor = con.execute(queries.ORACLE_SQL[name])
+    got = queries.queries()[name](spark, SMALL)
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert rows_of(got, *columns) == sorted(cursor.fetchall(), key=repr)
+
+
 def test_contamination_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.find_contamination(frame(spark, ODD), none)
@@ -281,6 +294,20 @@ def test_token_counts_of_the_table(spark):
     assert token_count.count_tokens(frame(spark, rows).where("doc_id < 0"), pieces).count() == 0
 
 
+def test_token_counts_of_long_texts(spark, monkeypatch):
+    pieces = token_count.load_pieces(queries.VOCABULARY)
+    assert 50_000 < token_count.trie_nodes(pieces) == len(token_count.Automaton(pieces).fail) - 1 < token_count.MOST_NODES
+    text = "word Größe\t12 \x0b\n\x1c" * 60_000
+    small, long_ = (token_count.count_tokens(frame(spark, [(1, t)]), pieces).first() for t in ("word Größe\t12 \x0b\n\x1c" * 2, text))
+    assert len(text) > token_count.LONG_TEXT
+    monkeypatch.setattr(token_count, "LONG_TEXT", 0)
+    again = token_count.count_tokens(frame(spark, [(1, "word Größe\t12 \x0b\n\x1c" * 2)]), pieces).first()
+    assert again == small and long_.n_runs > 180_000 and long_.n_tokens > 180_000
+    monkeypatch.setattr(token_count, "MOST_NODES", 10)
+    with pytest.raises(ValueError):
+        token_count.count_tokens(frame(spark, []), pieces)
+
+
 def test_remembered_counts_are_bounded(monkeypatch):
     monkeypatch.setattr(token_count, "REMEMBERED_RUNS", 10)
     counts = token_count.Counts(token_count.Automaton([b" ", b"a", b"aa"]))
@@ -472,6 +499,18 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score_toxicity(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_features_equal_a_plain_version():
+    rnd = random.Random(14)
+    marks = ["you", "YOU", "tu", "idiot", "St.u.p.id", "y0u", "aaargh", "Größe", "quxx", "quxxes", "word", "word", "...", "!!", "10", "NO", "x"]
+    texts = [" ".join(rnd.choice(marks) for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    entries = {toxicity.word_hash(b"word"): 1.5, int(toxicity.mix64(np.array([int.from_bytes(b"\x04quxx", "big")], np.uint64))[0]): 2.5}
+    keys = sorted(entries)
+    model = toxicity.Model(np.array(keys, np.uint64), np.array([entries[k] for k in keys]))
+    odds = lambda w: max([1.5] * (w == "word") + [2.5] * (w.startswith("quxx") and w != "quxx") + [0.0])
+    want = np.array([brute.toxicity_features(t, odds, toxicity.INSULTS, toxicity.SECOND_PERSON, toxicity.NEAR) for t in texts])
+    assert np.allclose(model.features(pa.array(texts)), want)
+
+
 def test_features_ignore_company():
     texts = ["You IDIOT!!", "plain words only", None, "", "s.t.u.p.i.d y0u", "u r aaaargh"]
     model = toxicity.Model()
