@@ -5,6 +5,8 @@ Each has a column form and a temporary SQL function of the same name.
 
 from __future__ import annotations
 
+from weakref import WeakSet
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,15 @@ SQL_FUNCTIONS = {
 BUILT_IN = ("mod", "count", "sum", "avg", "min", "max")
 
 
+_REGISTERED: WeakSet[SparkSession] = WeakSet()
+
+
 def register(spark: SparkSession) -> None:
-    vectors.register(spark, SQL_FUNCTIONS)
-    vectors.register(spark)
+    """Create the engine's SQL functions, once for each Spark session."""
+    if spark not in _REGISTERED:
+        vectors.register(spark, SQL_FUNCTIONS)
+        vectors.register(spark)
+        _REGISTERED.add(spark)
 
 
 def date_string_to_epoch(s: Column) -> Column:

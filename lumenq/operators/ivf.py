@@ -23,7 +23,7 @@ EXTRA_PROBES = 3
 
 
 def probe_count(limit: int, rows: int, k: int) -> int:
-    """How many clusters a query for ``limit`` rows opens."""
+    """How many clusters a query for ``limit`` rows opens at least."""
     return limit // max(1, rows // max(1, k)) + EXTRA_PROBES
 
 
@@ -64,6 +64,7 @@ class IvfIndex:
     postings: DataFrame
     base: DataFrame | None = None
     opened: list[int] = field(default_factory=list)
+    sizes: dict[int, int] | None = None
 
     @classmethod
     def build(
@@ -80,11 +81,24 @@ class IvfIndex:
         centroids, postings = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/data")
         return cls(spark, kind, vector, key, len(model.centroids), postings.count(), centroids, postings, df if kind == "secondary" else None)
 
+    def _open(self, query: Sequence[float], limit: int, ascending: bool, probe: int | None) -> list[int]:
+        """The clusters to open: ``probe`` of them, or by default as many as there are likely rows for, and more
+        until they hold ``limit`` rows or none is left. At most ``k`` numbers come to the driver."""
+        if probe is not None:
+            self.opened = probes(self.centroids, query, probe, ascending)
+            return self.opened
+        if self.sizes is None:
+            self.sizes = {r[0]: r[1] for r in self.postings.groupBy("cid").count().collect()}
+        order = probes(self.centroids, query, self.k, ascending)
+        p = min(probe_count(limit, self.rows, self.k), len(order))
+        while p < len(order) and sum(self.sizes.get(c, 0) for c in order[:p]) < limit:
+            p += 1
+        self.opened = order[:p]
+        return self.opened
+
     def candidates(self, query: Sequence[float], limit: int, ascending: bool = True, probe: int | None = None) -> DataFrame:
         """The rows of the opened clusters, with all columns of the indexed table."""
-        p = probe if probe is not None else probe_count(limit, self.rows, self.k)
-        self.opened = probes(self.centroids, query, p, ascending)
-        found = self.postings.where(F.col("cid").isin(self.opened))
+        found = self.postings.where(F.col("cid").isin(self._open(query, limit, ascending, probe)))
         if self.kind == "clustered":
             return found.drop("cid")
         return self.base.join(found.select(self.key), self.key, "left_semi")
@@ -95,9 +109,7 @@ class IvfIndex:
         order = F.col(alias).asc() if ascending else F.col(alias).desc()
         if self.kind == "secondary":
             # Rank on the postings, and fetch only the rows that are returned.
-            p = probe if probe is not None else probe_count(limit, self.rows, self.k)
-            self.opened = probes(self.centroids, query, p, ascending)
-            best = self.postings.where(F.col("cid").isin(self.opened)).select(self.key, dist).orderBy(order, self.key).limit(limit)
+            best = self.postings.where(F.col("cid").isin(self._open(query, limit, ascending, probe))).select(self.key, dist).orderBy(order, self.key).limit(limit)
             return self.base.join(F.broadcast(best), self.key).orderBy(order, self.key).select(*self.base.columns, alias)
         return self.candidates(query, limit, ascending, probe).select("*", dist).orderBy(order, self.key).limit(limit)
 

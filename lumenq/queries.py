@@ -35,14 +35,14 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def same_sql(name: str, sql: str) -> None:
-    """A query that both engines run from the same text."""
+def same_sql(name: str, sql: str, compat: bool = True) -> None:
+    """A statement that ``Session.sql`` and the other engine run from the same text."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
             if t in sql:
                 table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
+        return Session(spark, scratch(spark) + "/db", HashEmbedder(16), compat).sql(sql)
 
     query.__name__ = name
     QUERIES[name], ORACLE[name] = query, sql
@@ -110,15 +110,16 @@ def csv_column_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(delimited.column_sum(spark, f"{path}/nation", schema, "n_nationkey", header=False),)], "total long")
 
 
-@registered("SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@registered("SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def catalog_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    for name in ("nation", "region"):
-        df = table(spark, sf_dir, name)
-        lines = df.select(F.concat(F.concat_ws("|", *df.columns), F.lit("|")).alias("value"))
-        lines.coalesce(1).write.text(f"{path}/in/{name}.tbl")
+    columns = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"]}
+    for name, own in columns.items():
+        table(spark, sf_dir, name).select(F.concat(F.concat_ws("|", *own), F.lit("|")).alias("value")).write.text(f"{path}/in/{name}.tbl")
     s = Session(spark, f"{path}/db")
-    done = s.import_catalog("nation (n_nationkey int, n_name string, n_regionkey int)\nregion (r_regionkey int, r_name string)", f"{path}/in")
+    kind = lambda c: "string" if c.endswith(("name", "priority")) else "int"
+    text = "\n".join(f"{name} ({', '.join(f'{c} {kind(c)}' for c in own)})" for name, own in columns.items())
+    done = s.import_catalog(text, f"{path}/in")
     return spark.createDataFrame(sorted(done.items()), "name string, rows long")
 
 
@@ -135,16 +136,32 @@ def article_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", service.shortened("text", 60).alias("start"))
 
 
+@registered("SELECT range AS idx_data, range + 100 AS id, 'u' || range AS url, 't' || range AS title, 'start ' || range || '...' AS articlestart FROM range(30)")
+def service_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark, scratch(spark) + "/db", HashEmbedder(16))
+    s.load_service("articles", lambda i: {"id": i + 100, "url": f"u{i}", "title": f"t{i}", "articleStart": f"start {i}..."}, 30)
+    return s.sql("select * from articles")
+
+
 # ---------------------------------------------------------------- filters
 
 for _op, _name in (("=", "eq"), ("<>", "ne"), ("<", "lt"), ("<=", "le"), (">", "gt"), (">=", "ge")):
     same_sql(f"filter_int_{_name}", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey {_op} 70")
 same_sql("filter_string_eq", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
-same_sql("filter_string_lt", "SELECT n_nationkey, n_name FROM nation WHERE n_name < 'M'")
+same_sql("filter_string_lt", "SELECT n_nationkey, n_name FROM nation WHERE n_name < 'NATION_17'")
 same_sql("filter_conj", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R' AND l_discount >= 0.05")
 same_sql("filter_col_col", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber * 1000 > l_partkey")
 same_sql("filter_or_not_in", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2) OR NOT n_nationkey BETWEEN 5 AND 20")
-same_sql("like_std", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_%'")
+same_sql("like_std", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%d _i%'", compat=False)
+same_sql("window_nulls", "SELECT n.n_nationkey, r.r_regionkey, sum(n.n_nationkey) OVER (PARTITION BY n.n_regionkey) AS s FROM nation n LEFT JOIN region r ON n.n_nationkey = r.r_regionkey")
+same_sql("scalar_subquery_nulls", "SELECT n.n_nationkey, r.r_name, (SELECT max(r_regionkey) FROM region) AS top FROM nation n LEFT JOIN region r ON n.n_nationkey = r.r_regionkey")
+
+
+@registered("SELECT 0::BIGINT AS most, '' AS first, 1::BIGINT AS after, 0::BIGINT AS n")
+def zero_aggregates_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    s = Session(spark, scratch(spark) + "/db", HashEmbedder(16))
+    return s.sql("select max(c_custkey) most, min(c_name) first, max(c_custkey) + 1 after, count(*) n from customer where c_custkey < 0")
 
 
 @registered("SELECT p_partkey, p_type FROM part WHERE regexp_full_match(p_type, '.*?S.*?')")
@@ -400,8 +417,21 @@ def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "cid int, centroid array<double>")
 
 
+_BUILT: dict[tuple, ivf.IvfIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str, kind: str, iterations: int = 3) -> ivf.IvfIndex:
-    return ivf.IvfIndex.build(vectors(spark, sf_dir), scratch(spark) + "/ivf", "embedding", "vec_id", CLUSTERS, kind, iterations)
+    """The index of ``embeddings``, built when an application first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, iterations)
+    if key not in _BUILT:
+        _BUILT[key] = ivf.IvfIndex.build(vectors(spark, sf_dir), scratch(spark) + "/ivf", "embedding", "vec_id", CLUSTERS, kind, iterations)
+    return _BUILT[key]
+
+
+@registered("SELECT count(*) AS rows FROM embeddings")
+def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = ivf.IvfIndex.build(vectors(spark, sf_dir), scratch(spark) + "/ivf", "embedding", "vec_id", CLUSTERS, "secondary", 3)
+    return built.postings.agg(F.count("*").alias("rows"))
 
 
 @registered(ORACLE["sem_topk_exact"])
@@ -438,6 +468,12 @@ def ivf_seed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "label", "dist")
 
 
+@registered(ORACLE["ivf_seed_only"].replace("* 1000) AS BIGINT), cid LIMIT 3", "* 1000) AS BIGINT) DESC, cid LIMIT 3").replace("ORDER BY dist, e.vec_id", "ORDER BY dist DESC, e.vec_id"))
+def ivf_seed_only_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _index(spark, sf_dir, "clustered", iterations=0).search(query_vector(spark, sf_dir, 77), K, ascending=False, probe=3)
+    return found.select("vec_id", "label", "dist")
+
+
 @registered(_SEEDED + "SELECT CAST(cid AS INT) AS centroidid, count(*) AS rows FROM f GROUP BY cid")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = _index(spark, sf_dir, "secondary", iterations=0).postings
@@ -527,6 +563,70 @@ def sql_nearest_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(exact == near, s.last_plan.split(",")[0])], "same boolean, plan string")
 
 
+@registered("SELECT true AS same, 'nearest-neighbour scan: secondary index on nations.name' AS plan")
+def sql_nearest_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest and the largest distance by an index that opens some clusters are those of the exact scan."""
+    s = _nations(spark, sf_dir)
+    texts = [f"select {f}(name semlike 'nation 7') d from nations" for f in ("min", "max")]
+    exact = [s.sql(t).first()[0] for t in texts]
+    s.create_index("nations", "name", 4)
+    near = [s.sql(t).first()[0] for t in texts]
+    return spark.createDataFrame([(exact == near, s.last_plan.split(",")[0])], "same boolean, plan string")
+
+
+@registered("SELECT 'built' AS step, count(*) AS postings, count(*) AS rows FROM nation UNION ALL SELECT 'inserted', count(*) + 2, count(*) + 2 FROM nation UNION ALL SELECT 'deleted', count(*) + 2, count(*) + 2 FROM nation WHERE n_regionkey <> 1")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _nations(spark, sf_dir)
+    s.create_index("nations", "name", 4)
+    seen = []
+    for step, change in (("built", None), ("inserted", "insert into nations values (100, 9, 'Atlantis'), (101, 9, 'Utopia')"), ("deleted", "delete from nations where region = 1")):
+        if change:
+            s.sql(change)
+        seen.append((step, s.sql("select count(*) from secondary__nations__name__data").first()[0], s.sql("select count(*) from nations").first()[0]))
+    return spark.createDataFrame(seen, "step string, postings long, rows long")
+
+
+@registered("SELECT count(*) AS postings, CAST(4 AS BIGINT) AS centroids, true AS mapped FROM nation")
+def index_tables_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _nations(spark, sf_dir)
+    s.create_index("nations", "name", 4, "clustered")
+    one = lambda what, item: s.sql(f"select {item} from clustered__nations__name__{what}").first()[0]
+    mapped = one("mapping", "count(distinct centroidid)") == one("data", "count(distinct centroidid)")
+    return spark.createDataFrame([(one("data", "count(*)"), one("centroids", "count(*)"), mapped)], "postings long, centroids long, mapped boolean")
+
+
+@registered("SELECT CAST(n_nationkey AS BIGINT) AS k, true AS same FROM nation")
+def vector_text_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of vectors against a text gives the distance that the column of their texts gives."""
+    s = _nations(spark, sf_dir)
+    s.create_table("points (k int, v embvec)")
+    s.insert("points", s.table("nations", vectors=True).select("k", "name__emb"))
+    return s.sql("select a.k k, (a.v semlike_vec 'nation 12') = (b.name semlike 'nation 12') same from points a join nations b on a.k = b.k")
+
+
+@registered("SELECT c_nationkey, CAST(sum(c_custkey * c_custkey) AS BIGINT) AS squares FROM customer GROUP BY c_nationkey")
+def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.user_aggregates import aggregate
+
+    return aggregate(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_custkey", SumOfSquares(), "long", "squares")
+
+
+class SumOfSquares:
+    """An aggregate of a caller's own."""
+
+    def new(self) -> int:
+        return 0
+
+    def add(self, state: int, values) -> int:
+        return state + int((values.dropna().astype("int64") ** 2).sum())
+
+    def merge(self, a: int, b: int) -> int:
+        return a + b
+
+    def finish(self, state: int) -> int:
+        return state
+
+
 @registered()
 def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).sql("explain select k, (name semlike 'china') dist from nations order by dist limit 2")

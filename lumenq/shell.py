@@ -40,17 +40,20 @@ def cell(value: object) -> str:
 def aligned(df: DataFrame, limit: int = SHOWN) -> str:
     """Centred, cut cells in a window of WIDTH characters."""
     width = max(3, WIDTH // max(1, len(df.columns)) - 2)
-    rows = [df.columns, *([cell(v) for v in r] for r in df.limit(limit).collect())]
+    found = df.limit(limit + 1).collect()
+    rows = [df.columns, *([cell(v) for v in r] for r in found[:limit])]
     lines = ["|".join(v[:width].center(width) for v in r) + "|" for r in rows]
-    return "\n".join([*lines, f"({len(rows) - 1} results)"])
+    return "\n".join([*lines, f"({len(rows) - 1} results)" if len(found) <= limit else f"(the first {limit} of more results)"])
 
 
 def as_csv(df: DataFrame, limit: int = SHOWN) -> str:
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(df.columns)
-    writer.writerows([cell(v) for v in r] for r in df.limit(limit).collect())
-    return out.getvalue().rstrip("\n")
+    found = df.limit(limit + 1).collect()
+    writer.writerows([cell(v) for v in r] for r in found[:limit])
+    more = f"\n# the first {limit} of more results" if len(found) > limit else ""
+    return out.getvalue().rstrip("\n") + more
 
 
 class Shell:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lumenq.errors import DuplicateTable, IllegalTransaction, NoSuchTable, ParseError, TransactionConflict, TypeMismatch
+from lumenq.errors import DuplicateTable, FailedEmbedding, IllegalTransaction, NoSuchTable, ParseError, TransactionConflict, TypeMismatch
 from lumenq.functions.embedding import HashEmbedder, ProjectedEmbedder, embed_one
 from lumenq.operators.kmeans import fit_kmeans
 from lumenq.session import Session
@@ -285,6 +285,52 @@ def test_probing_more_never_loses(fresh):
     assert found == sorted(found) and found[-1] == 10
 
 
+def test_limit_rows_come_from_skewed_clusters(spark, tmp_path):
+    """All rows but a few lie in one cluster; the empty ones near the query must not use up the probes."""
+    from lumenq.operators.ivf import IvfIndex
+
+    rows = [(i, [1.0, 0.01 * i]) for i in range(8)] + [(100 + i, [-1.0, 0.001 * i]) for i in range(92)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    for kind in ("secondary", "clustered"):
+        index = IvfIndex.build(df, f"file://{tmp_path}/{kind}", "v", "id", 8, kind, 0)
+        for limit in (5, 20, 99):
+            assert index.search([1.0, 0.0], limit).count() == limit == index.candidates([1.0, 0.0], limit).limit(limit).count()
+
+
+def test_services(spark):
+    import threading
+
+    from lumenq.functions.embedding import HttpEmbedder
+    from lumenq.sources import server, service
+
+    items = [{"id": i, "url": f"u{i}", "title": f"t{i}", "text": "words " * i} for i in range(5)]
+    http = server.serve(server.embedding_routes(HashEmbedder(16)) | server.item_routes(items))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{http.server_address[1]}"
+        e = HttpEmbedder(url, retries=0)
+        texts = ["a b", "c", "a b", "", None]
+        assert e.dim == 16 and np.allclose(e.embed(texts), HashEmbedder(16).embed(texts)) and e.embed([]).shape == (0, 16)
+        got = service.read_service(spark, service.HttpFetch(url, 10), 5).orderBy("id").collect()
+        assert [r.articlestart for r in got] == [(("words " * i)[: max(0, min(6 * i, 10) - 3)] + "...") for i in range(5)]
+        assert e._post("/dataitemfull", {"idx": 2})["dataelement"]["text"] == "words words " and e._post("/descriptor", {})["descriptor"][0] == "id"
+        for path, body in (("/nothing", {}), ("/embed", {}), ("/dataitem", {"idx": 99, "char_length": 5})):
+            with pytest.raises(FailedEmbedding):
+                e._post(path, body)
+    finally:
+        http.shutdown()
+
+
+def test_user_aggregates(spark):
+    from lumenq.functions.user_aggregates import aggregate
+    from lumenq.queries import SumOfSquares
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", None), (None, 4)], "k string, v int").repartition(3)
+    assert {tuple(r) for r in aggregate(df, ["k"], "v", SumOfSquares(), "long", "s").collect()} == {("a", 5), (None, 25), ("b", 0)}
+    assert [r.s for r in aggregate(df, [], "v", SumOfSquares(), "long", "s").collect()] == [30]
+    assert [r.s for r in aggregate(df.where("v > 9"), [], "v", SumOfSquares(), "long", "s").collect()] == [0]
+
+
 def test_kmeans(spark):
     points = [(1.0, -1.0), (-1.0, 1.0), (1.0, 1.5), (-2.0, -1.0), (-1.0, 1.0), (-1.0, 3.0), (-1.0, -2.0), (-1.0, -1.0)]
     df = spark.createDataFrame([(i, list(p)) for i, p in enumerate(points)], "id long, v array<double>")
