@@ -305,15 +305,15 @@ def similar_rows(
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block)
     held = ["band", "value", "block", "node", "weight", "bands"]
-    met = dealt.join(sets, "node")
-    small = met.where("blocks = 1").select(*held, (F.length("body") / 8).cast("long").alias("size"), F.lit(0.0).alias("base"), "body")
+    small = dealt.where("blocks = 1").join(sets, "node").select(*held, (F.length("body") / 8).cast("long").alias("size"), F.lit(0.0).alias("base"), "body")
     large = members.where("blocks > 1")
     count = buckets.where("blocks > 1").select("band", "value", F.col("blocks").alias("count"))
     compared = small
     if not large.isEmpty():
-        # One copy of the pivot's set for each block of its bucket, and each member's set once.
-        pivots = buckets.where("blocks > 1").join(sets, F.col("pivot") == F.col("node")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows_ = met.where("blocks > 1").select(*held, "body", F.lit(False).alias("pivot"))
+        # One copy of the pivot's set for each block of its bucket, and each member's set once; sets of no large bucket stay.
+        wide = maybe_in(sets, ["node"], filter_table(large.select("node")), "__l").where("__l").drop("__l")
+        pivots = buckets.where("blocks > 1").join(wide, F.col("pivot") == F.col("node")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows_ = dealt.where("blocks > 1").join(wide, "node").select(*held, "body", F.lit(False).alias("pivot"))
         rows_ = rows_.unionByName(pivots.select(*held, "body", F.lit(True).alias("pivot")))
         at = ["band", "value", "block"]
         differences = shared_table(rows_.repartition(*at).sortWithinPartitions(*at).mapInArrow(frugal(_differences), MEMBER), "join-differences")
