@@ -66,7 +66,8 @@ class HashEmbedder:
             cell = np.repeat(rows[k : k + len(w)] * self.dim, many) + place[each]
             out += np.bincount(cell, np.repeat(counts[k : k + len(w)], many) * weight[each], len(out))
         out = out.reshape(len(texts), self.dim)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        # A hair over unit length, so that rounding never cuts a text's distance to itself from -1000 to -999.
+        norm = np.linalg.norm(out, axis=1, keepdims=True) * (1 - 1e-12)
         return np.divide(out, norm, out=out, where=norm > 0)
 
 
