@@ -1,7 +1,7 @@
 """Inverted-file index: vectors filed by their nearest centroid, and queries that open only a few files.
 
-Postings are Parquet partitioned by ``cid``, so a probe is partition pruning. A *secondary* index keeps
-(row identifier, vector) beside the table; a *clustered* one is the table itself, laid out by ``cid``.
+Postings are Parquet partitioned by ``_cid``, so a probe is partition pruning. A *secondary* index keeps
+(row identifier, vector) beside the table; a *clustered* one is the table itself, laid out by ``_cid``.
 Candidates are ranked by exact distance: an index changes recall, never a distance.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sem_dist
+from ..types import CID
 from .kmeans import KMeansModel, fit_kmeans
 from .knn import vector_literal
 
@@ -39,8 +40,8 @@ def read_model(spark: SparkSession, path: str) -> KMeansModel:
 
 
 def file_rows(rows: DataFrame, model: KMeansModel, vector: str) -> DataFrame:
-    """``rows`` with their ``cid``, dealt so that each cluster is written as few, evenly sized files."""
-    return rows.withColumn("cid", model.assign(vector)).hint("rebalance", "cid")
+    """``rows`` with their ``_cid``, dealt so that each cluster is written as few, evenly sized files."""
+    return rows.withColumn(CID, model.assign(vector)).hint("rebalance", CID)
 
 
 def probes(centroids: DataFrame, query: Sequence[float], p: int, ascending: bool = True) -> list[int]:
@@ -77,7 +78,7 @@ class IvfIndex:
         model = fit_kmeans(df, vector, k, key, iterations, metric)
         write_centroids(spark, model, f"{path}/centroids")
         kept = df if kind == "clustered" else df.select(key, vector)
-        file_rows(kept, model, vector).write.partitionBy("cid").parquet(f"{path}/data")
+        file_rows(kept, model, vector).write.partitionBy(CID).parquet(f"{path}/data")
         centroids, postings = spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/data")
         return cls(spark, kind, vector, key, len(model.centroids), postings.count(), centroids, postings, df if kind == "secondary" else None)
 
@@ -88,7 +89,7 @@ class IvfIndex:
             self.opened = probes(self.centroids, query, probe, ascending)
             return self.opened
         if self.sizes is None:
-            self.sizes = {r[0]: r[1] for r in self.postings.groupBy("cid").count().collect()}
+            self.sizes = {r[0]: r[1] for r in self.postings.groupBy(CID).count().collect()}
         order = probes(self.centroids, query, self.k, ascending)
         p = min(probe_count(limit, self.rows, self.k), len(order))
         while p < len(order) and sum(self.sizes.get(c, 0) for c in order[:p]) < limit:
@@ -98,9 +99,9 @@ class IvfIndex:
 
     def candidates(self, query: Sequence[float], limit: int, ascending: bool = True, probe: int | None = None) -> DataFrame:
         """The rows of the opened clusters, with all columns of the indexed table."""
-        found = self.postings.where(F.col("cid").isin(self._open(query, limit, ascending, probe)))
+        found = self.postings.where(F.col(CID).isin(self._open(query, limit, ascending, probe)))
         if self.kind == "clustered":
-            return found.drop("cid")
+            return found.drop(CID)
         return self.base.join(found.select(self.key), self.key, "left_semi")
 
     def search(self, query: Sequence[float], limit: int, ascending: bool = True, probe: int | None = None, alias: str = "dist") -> DataFrame:
@@ -109,11 +110,11 @@ class IvfIndex:
         order = F.col(alias).asc() if ascending else F.col(alias).desc()
         if self.kind == "secondary":
             # Rank on the postings, and fetch only the rows that are returned.
-            best = self.postings.where(F.col("cid").isin(self._open(query, limit, ascending, probe))).select(self.key, dist).orderBy(order, self.key).limit(limit)
+            best = self.postings.where(F.col(CID).isin(self._open(query, limit, ascending, probe))).select(self.key, dist).orderBy(order, self.key).limit(limit)
             return self.base.join(F.broadcast(best), self.key).orderBy(order, self.key).select(*self.base.columns, alias)
         return self.candidates(query, limit, ascending, probe).select("*", dist).orderBy(order, self.key).limit(limit)
 
     def mapping(self) -> DataFrame:
         """(centroidid, indexpageno): the files of each cluster."""
-        files = self.postings.select(F.col("cid").alias("centroidid"), F.input_file_name().alias("file")).distinct()
+        files = self.postings.select(F.col(CID).alias("centroidid"), F.input_file_name().alias("file")).distinct()
         return files.select("centroidid", F.xxhash64("file").alias("indexpageno"))

@@ -15,7 +15,7 @@ from .operators import ivf, kmeans, knn, retrieval
 from .session import Session
 from .sources import delimited, service
 from .sources.scratch import scratch
-from .types import TableSchema
+from .types import CID, TableSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -477,7 +477,7 @@ def ivf_seed_only_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(_SEEDED + "SELECT CAST(cid AS INT) AS centroidid, count(*) AS rows FROM f GROUP BY cid")
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = _index(spark, sf_dir, "secondary", iterations=0).postings
-    return postings.groupBy(F.col("cid").alias("centroidid")).agg(F.count("*").alias("rows"))
+    return postings.groupBy(F.col(CID).alias("centroidid")).agg(F.count("*").alias("rows"))
 
 
 @registered(_SEEDED + "SELECT DISTINCT CAST(cid AS INT) AS centroidid, true AS filed FROM f")

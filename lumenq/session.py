@@ -19,7 +19,7 @@ from .operators.kmeans import KMeansModel, fit_kmeans
 from .plans import frontend
 from .sources import delimited, service
 from .sources.catalog import Catalog
-from .types import RID, VECTOR, VECTOR_SUFFIX, TableSchema
+from .types import CID, PART, RID, VECTOR, VECTOR_SUFFIX, TableSchema
 
 
 class Session:
@@ -128,14 +128,15 @@ class Session:
             if clustered:
                 model = ivf.read_model(self.spark, self.catalog.storage.path(clustered[1]["centroids"]))
                 ready = ivf.file_rows(ready, model, self._vector(name, clustered[0]))
-            part, n = self.catalog.add_rows(name, ready, ["cid"] if clustered else None)
+            part, n = self.catalog.add_rows(name, ready, [CID] if clustered else None)
             for column, index in entry["indexes"].items():
                 if index["kind"] == "secondary" and n:
                     self._add_postings(name, column, index, self.catalog.read_parts(name, [part], self.catalog.schema(name).stored_schema()))
             return n
 
     def delete(self, name: str, where: str | None = None) -> int:
-        """Delete the rows for which ``where`` is true; only the parts that hold such rows are rewritten."""
+        """Delete the rows for which ``where`` is true; the parts that hold such rows are
+        rewritten as one, the others stay."""
         with self.transaction():
             entry = self.catalog.entry(name)
             rewriter = self._rewriter()
@@ -145,38 +146,34 @@ class Session:
                 args = rewriter.args
             clustered = any(i["kind"] == "clustered" for i in entry["indexes"].values())
             layout = self._layout(name) if clustered else self.catalog.schema(name).stored_schema()
-            gone_parts, kept_parts, total = [], [], 0
-            for part in entry["parts"]:
+            names = layout.names
+
+            def flagged(parts: list[str]) -> DataFrame:
+                rows = self.catalog.read_parts(name, parts, T.StructType([*layout, T.StructField(PART, T.StringType())]))
                 view = f"__delete_{uuid.uuid4().hex}"
-                rows = self.catalog.read_parts(name, [part], layout)
                 rows.createOrReplaceTempView(view)
                 try:
-                    flagged = self.spark.sql(f"SELECT *, coalesce({self._unqualified(cond, name)}, false) AS __gone FROM {view}", args=args)
+                    return self.spark.sql(f"SELECT *, coalesce({self._unqualified(cond, name)}, false) AS __gone FROM {view}", args=args)
                 finally:
                     self.spark.catalog.dropTempView(view)
-                n = flagged.where("__gone").count()
-                if not n:
-                    kept_parts.append(part)
-                    continue
-                total += n
-                gone_parts.append(flagged.where("__gone").select(RID))
+
+            # One row for each part that loses rows.
+            found = {r[0]: r[1] for r in flagged(entry["parts"]).where("__gone").groupBy(PART).count().collect()}
+            total = sum(found.values())
+            if total:
+                changed = [p for p in entry["parts"] if p.rpartition("=")[2] in found]
+                marked = flagged(changed)
                 rest = self.catalog.new_part(name)
-                writer = flagged.where("NOT __gone").drop("__gone").write
-                if clustered:
-                    writer = writer.partitionBy("cid")
+                stay = marked.where("NOT __gone").select(*names)
+                writer = stay.hint("rebalance", CID).write.partitionBy(CID) if clustered else stay.write
                 writer.parquet(self.catalog.storage.path(rest))
-                if not self.catalog.read_parts(name, [rest], layout).isEmpty():
-                    kept_parts.append(rest)
-            if total:
-                entry["parts"] = kept_parts
+                kept = [] if self.catalog.read_parts(name, [rest], layout).isEmpty() else [rest]
+                entry["parts"] = [p for p in entry["parts"] if p not in changed] + kept
                 entry["rows"] -= total
                 self.catalog.touched.add(name.lower())
-                gone = gone_parts[0]
-                for more in gone_parts[1:]:
-                    gone = gone.unionByName(more)
                 for index in entry["indexes"].values():
                     if index["kind"] == "secondary":
-                        self._drop_postings(name, index, gone)
+                        self._drop_postings(name, index, marked.where("__gone").select(RID))
             return total
 
     def _unqualified(self, condition: str, table: str) -> str:
@@ -194,7 +191,7 @@ class Session:
         n = 0
         for folder in self.catalog.storage.names():
             for part in self.catalog.storage.names(folder):
-                if part.startswith("part=") and f"{folder}/{part}" not in used:
+                if part.startswith(f"{PART}=") and f"{folder}/{part}" not in used:
                     self.catalog.storage.delete(f"{folder}/{part}")
                     n += 1
         return n
@@ -247,7 +244,7 @@ class Session:
                 self._add_postings(table, column, index, rows, model)
             else:
                 part = self.catalog.new_part(table)
-                ivf.file_rows(rows, model, vector).write.partitionBy("cid").parquet(self.catalog.storage.path(part))
+                ivf.file_rows(rows, model, vector).write.partitionBy(CID).parquet(self.catalog.storage.path(part))
                 entry["parts"] = [part]
             self.catalog.touched.add(table.lower())
             return model
@@ -257,22 +254,22 @@ class Session:
         model = model or ivf.read_model(self.spark, self.catalog.storage.path(index["centroids"]))
         part = self.catalog.new_part(table)
         postings = rows.select(RID, F.col(vector).alias("vector"))
-        ivf.file_rows(postings, model, "vector").write.partitionBy("cid").parquet(self.catalog.storage.path(part))
+        ivf.file_rows(postings, model, "vector").write.partitionBy(CID).parquet(self.catalog.storage.path(part))
         index["parts"].append(part)
 
     def _drop_postings(self, table: str, index: dict, gone: DataFrame) -> None:
         part = self.catalog.new_part(table)
         rest = self._postings(table, index).join(gone, RID, "left_anti")
-        rest.hint("rebalance", "cid").write.partitionBy("cid").parquet(self.catalog.storage.path(part))
+        rest.hint("rebalance", CID).write.partitionBy(CID).parquet(self.catalog.storage.path(part))
         index["parts"] = [part]
 
     def _postings(self, table: str, index: dict) -> DataFrame:
-        schema = T.StructType([T.StructField(RID, T.LongType()), T.StructField("vector", VECTOR), T.StructField("cid", T.IntegerType())])
+        schema = T.StructType([T.StructField(RID, T.LongType()), T.StructField("vector", VECTOR), T.StructField(CID, T.IntegerType())])
         return self.catalog.read_parts(table, index["parts"], schema)
 
     def _layout(self, table: str) -> T.StructType:
-        """The stored columns of a clustered table, with ``cid``."""
-        return T.StructType([*self.catalog.schema(table).stored_schema(), T.StructField("cid", T.IntegerType())])
+        """The stored columns of a clustered table, with their cluster."""
+        return T.StructType([*self.catalog.schema(table).stored_schema(), T.StructField(CID, T.IntegerType())])
 
     def _filed(self, table: str) -> DataFrame:
         return self.catalog.read_parts(table, self.catalog.entry(table)["parts"], self._layout(table))
@@ -313,7 +310,7 @@ class Session:
             return index.centroids.select("vector", F.col("cid").alias("centroidid"))
         if what == "mapping":
             return index.mapping()
-        return index.postings.select(F.col(index.vector).alias("vector"), RID, F.col("cid").alias("centroidid"))
+        return index.postings.select(F.col(index.vector).alias("vector"), RID, F.col(CID).alias("centroidid"))
 
     def sql(self, statement: str, vectors: bool = False) -> DataFrame:
         """Run one statement. Changes give one row with ``count``; other statements without a result give

@@ -15,6 +15,8 @@ from .errors import ParseError
 
 VECTOR_SUFFIX = "__emb"
 RID = "_rid"
+#: The folder levels of stored tables: the part, and in indexes the cluster. Columns can't have these names.
+PART, CID = "_part", "_cid"
 VECTOR = T.ArrayType(T.DoubleType())
 
 #: Spellings of the four logical types.
@@ -54,9 +56,11 @@ class TableSchema:
             if kind is None:
                 raise ParseError(f"not a column declaration: {part.strip()!r}")
             columns.append(Column(words[0].lower(), kind))
-        if len({c.name for c in columns}) < len(columns):
-            raise ParseError(f"repeated column in {line!r}")
-        return cls(m[1].lower(), tuple(columns))
+        schema = cls(m[1].lower(), tuple(columns))
+        stored = [*schema.stored_schema().names, PART, CID]
+        if len(set(stored)) < len(stored):
+            raise ParseError(f"repeated or reserved column in {line!r}")
+        return schema
 
     def declaration(self) -> str:
         """The line that ``parse`` reads back."""

@@ -11,6 +11,7 @@ from lumenq.operators.kmeans import fit_kmeans
 from lumenq.session import Session
 from lumenq.shell import Shell
 from lumenq.timing import benchmark
+from lumenq.types import CID
 
 CREW = [
     ("ines", 31), ("tomas", 47), ("ruth", 28), ("olek", 19), ("vera", 52), ("hugo", 36), ("ines", 64), ("dana", 28),
@@ -160,6 +161,40 @@ def test_insert_and_delete(fresh):
     assert ask(fresh, "insert into p values (1, 'x', 'y')") == [(1,)] and ask(fresh, "select id from p") == [(1,)]
 
 
+@pytest.mark.parametrize("kind", [None, "secondary", "clustered"])
+def test_delete_over_many_parts(fresh, kind):
+    if kind:
+        fresh.create_index("p", "words", 4, kind)
+    for k in range(3):
+        fresh.sql(f"insert into p values ({100 + k}, 'x', 'word{k}'), ({200 + k}, 'y', 'word{k}')")
+    before = fresh.catalog.entry("p")["parts"]
+    assert len(before) == 4
+    assert ask(fresh, "delete from p where id in (100, 102)") == [(2,)]
+    after = fresh.catalog.entry("p")["parts"]
+    # Parts without deleted rows stay as they are, and the rest of the others is one part.
+    assert [x for x in after if x in before] == [before[0], before[2]] and len(after) == 3
+    assert ask(fresh, "delete from p where what in ('x', 'y')") == [(4,)]
+    assert fresh.catalog.entry("p")["parts"] == [before[0]] and fresh.catalog.entry("p")["rows"] == 60
+    assert sorted(r[0] for r in fresh.table("p").select("id").collect()) == list(range(60))
+    if kind:
+        assert fresh.index("p", "words").postings.count() == 60
+
+
+@pytest.mark.parametrize("kind", ["secondary", "clustered"])
+def test_columns_named_like_folders(fresh, kind):
+    fresh.sql("create table q (part int, cid int, words embtext)")
+    fresh.sql("insert into q values (1, 10, 'sea'), (2, 20, 'hill'), (3, null, 'sea and hill')")
+    fresh.create_index("q", "words", 2, kind)
+    fresh.sql("insert into q values (4, 40, 'river')")
+    assert ask(fresh, "delete from q where part = 2") == [(1,)]
+    assert ask(fresh, "select part, cid from q order by part") == [(1, 10), (3, None), (4, 40)]
+    assert ask(fresh, "select part, cid, (words semlike 'river') d from q order by d limit 1")[0][:2] == (4, 40)
+    with pytest.raises(ParseError):
+        fresh.sql("create table r (_rid int)")
+    with pytest.raises(ParseError):
+        fresh.sql("create table r (a embtext, a__emb embvec)")
+
+
 def test_wrong_statements(fresh):
     with pytest.raises(TypeMismatch):
         fresh.sql("insert into p values (1, 'x')")
@@ -255,7 +290,7 @@ def test_index_serves_the_statements_it_may(fresh, kind):
     best = ask(fresh, "select min(words semlike 'word1 and word1 number 1') from p")[0][0]
     assert best <= -999
     text = fresh.sql("explain select id, (words semlike 'word1') d from p order by d limit 2").first()[0]
-    assert near in text and "PartitionFilters" in text and "cid" in text
+    assert near in text and "PartitionFilters" in text and "_cid" in text
     assert near not in fresh.sql("explain select id from p").first()[0]
 
 
@@ -263,7 +298,7 @@ def test_index_serves_the_statements_it_may(fresh, kind):
 def test_index_follows_changes(spark, fresh, kind):
     fresh.create_index("p", "words", 5, kind)
     filed = lambda: fresh.index("p", "words").postings
-    assert filed().count() == 60 and filed().select("cid").distinct().count() <= 5
+    assert filed().count() == 60 and filed().select(CID).distinct().count() <= 5
     fresh.sql("insert into p values (500, 'new', 'zebra zebra zebra')")
     assert filed().count() == 61
     assert ask(fresh, "select id, (words semlike 'zebra') d from p order by d limit 1")[0][0] == 500
@@ -272,7 +307,7 @@ def test_index_follows_changes(spark, fresh, kind):
     again = Session(spark, fresh.catalog.storage.root, fresh.embedder)
     assert again.index("p", "words").kind == kind
     sizes = ask(again, f"select centroidid, count(indexpageno) n from {kind}__p__words__mapping group by centroidid")
-    assert len(sizes) == filed().select("cid").distinct().count()
+    assert len(sizes) == filed().select(CID).distinct().count()
     assert len(ask(again, f"select * from {kind}__p__words__centroids")) == 5
     assert len(ask(again, "select * from p__words__data")) == 55
 
