@@ -299,7 +299,7 @@ def test_token_counts_of_long_texts(spark, monkeypatch):
     assert 50_000 < token_count.trie_nodes(pieces) == len(token_count.Automaton(pieces).fail) - 1 < token_count.MOST_NODES
     text = "word Größe\t12 \x0b\n\x1c" * 60_000
     small, long_ = (token_count.count_tokens(frame(spark, [(1, t)]), pieces).first() for t in ("word Größe\t12 \x0b\n\x1c" * 2, text))
-    assert len(text) > token_count.LONG_TEXT
+    assert len(text.encode()) > token_count.LONG_TEXT
     monkeypatch.setattr(token_count, "LONG_TEXT", 0)
     again = token_count.count_tokens(frame(spark, [(1, "word Größe\t12 \x0b\n\x1c" * 2)]), pieces).first()
     assert again == small and long_.n_runs > 180_000 and long_.n_tokens > 180_000
