@@ -53,6 +53,10 @@ def getsubstr(s: Column, start: Column, n: Column) -> Column:
     return F.when(inside, cut.cast("string")).otherwise("")
 
 
+#: A stamp without its weekday and repeated blanks, and its year if that has five digits or more.
+_STAMP = "regexp_replace(substring(s, 5), ' +', ' ')"
+_FAR = "try_cast(regexp_extract(s, ' [+]?([0-9]{5,9})$', 1) AS BIGINT)"
+
 SQL_FUNCTIONS = {
     "sq": ("a BIGINT", "BIGINT", "a * a"),
     "imin": ("a BIGINT, b BIGINT", "BIGINT", "least(a, b)"),
@@ -70,11 +74,16 @@ SQL_FUNCTIONS = {
     ),
     "datetimestringtoepoch": (
         "s STRING", "BIGINT",
-        "coalesce(unix_timestamp(try_to_timestamp(regexp_replace(substring(s, 5), ' +', ' '), 'MMM d HH:mm:ss zzz yyyy')), 0)",
+        # Years of over four digits are parsed as one of 2000 to 2399, and the whole cycles of 400 years are added.
+        f"coalesce(unix_timestamp(try_to_timestamp(if({_FAR} IS NULL, regexp_replace({_STAMP}, ' -([0-9]{{1,3}})$', ' -000$1'), "
+        f"regexp_replace({_STAMP}, '[+]?[0-9]{{5,9}}$', cast({_FAR} % 400 + 2000 AS STRING))), 'MMM d HH:mm:ss zzz yyyy')) "
+        f"+ coalesce({_FAR} div 400 - 5, 0) * 12622780800, 0)",
     ),
     "epochtodatetimestring": (
         "i BIGINT", "STRING",
-        "concat(date_format(timestamp_seconds(i), 'EEE MMM '), lpad(date_format(timestamp_seconds(i), 'd'), 2, ' '), date_format(timestamp_seconds(i), ' HH:mm:ss zzz yyyy'))",
+        # Years as plain numbers, padded within 0 to 9999; ``yyyy`` would put a plus before later ones.
+        "concat(date_format(timestamp_seconds(i), 'EEE MMM '), lpad(day(timestamp_seconds(i)), 2, ' '), date_format(timestamp_seconds(i), ' HH:mm:ss zzz '), "
+        "if(year(timestamp_seconds(i)) BETWEEN 0 AND 9999, lpad(year(timestamp_seconds(i)), 4, '0'), cast(year(timestamp_seconds(i)) AS STRING)))",
     ),
 }
 
